@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_count, url_filter
+from . import bpe, packing, quality_rules, token_count, topk, url_filter
 
 _MODULES = {
     "op3_url_filter": url_filter,
+    "op4_topk": topk,
     "op5_best_fit_packing": packing,
     "op6_bpe_tree": bpe,
+    "op8_quality_rules": quality_rules,
     "op10_token_count": token_count,
 }
 
