@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, token_count, topk, url_filter
+from . import bpe, near_dup, packing, quality_rules, resampling, token_count, topk, url_filter
 
 _MODULES = {
+    "op2_resampling": resampling,
     "op3_url_filter": url_filter,
     "op4_topk": topk,
     "op5_best_fit_packing": packing,
     "op6_bpe_tree": bpe,
+    "op7_near_dup": near_dup,
     "op8_quality_rules": quality_rules,
     "op10_token_count": token_count,
 }
