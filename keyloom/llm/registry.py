@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, packing, quality_rules, resampling, token_count, topk, url_filter
+from . import bpe, line_dedup, near_dup, packing, quality_rules, resampling, token_count, topk, url_filter
 
 _MODULES = {
     "op2_resampling": resampling,
@@ -16,6 +16,7 @@ _MODULES = {
     "op6_bpe_tree": bpe,
     "op7_near_dup": near_dup,
     "op8_quality_rules": quality_rules,
+    "op9_line_dedup": line_dedup,
     "op10_token_count": token_count,
 }
 
