@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, near_dup, packing, quality_rules, resampling, token_count, topk, url_filter
+from . import bpe, line_dedup, near_dup, packing, quality_rules, resampling, token_count, tool_calls, topk, url_filter
 
 _MODULES = {
+    "op1_tool_calls": tool_calls,
     "op2_resampling": resampling,
     "op3_url_filter": url_filter,
     "op4_topk": topk,

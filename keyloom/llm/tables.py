@@ -11,13 +11,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and written to the folder in spark.checkpoint.dir, so that
-    later jobs read them again even after executors are lost.  Where that setting is unset (a local
-    session, as in tests) a temporary folder serves."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir.  Where that setting is
+    unset (a local session, as in tests) a temporary folder serves."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="keyloom-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="keyloom-"))
+    return named or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and written to the shared folder, so that later jobs read
+    them again even after executors are lost."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
