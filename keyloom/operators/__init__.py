@@ -1,0 +1,4 @@
+from .frame import KeyedFrame
+from .layered import LayeredFrame, Reducer
+
+__all__ = ["KeyedFrame", "LayeredFrame", "Reducer"]

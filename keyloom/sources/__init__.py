@@ -1,0 +1,3 @@
+from .storage import Store, load_bucketed, read_table, save_bucketed
+
+__all__ = ["Store", "load_bucketed", "read_table", "save_bucketed"]

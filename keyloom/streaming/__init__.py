@@ -1,0 +1,3 @@
+from .upsert import upsert_stream
+
+__all__ = ["upsert_stream"]
