@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
+#: Links to a partition between rounds.
+LINKS = 500_000
+
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,10 +31,10 @@ def _small(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links: u, v (long, in any order).  node, root for every node that is not the least of its component."""
     now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    mark = None
     while True:
         now = cut(_small(_large(now)))
-        seen = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-        if (seen.n, seen.s) == mark:
+        count = now.count()
+        now = now.coalesce(count // LINKS + 1)
+        lone = now.select("u").distinct().count() == count  # one root each
+        if lone and now.join(now.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():  # and roots have none
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = (seen.n, seen.s)

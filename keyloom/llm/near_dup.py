@@ -9,8 +9,8 @@ candidates, and are verified by the exact Jaccard similarity of their shingle se
 
 Exact copies (equal word sequences) are one class from the start, and only its least document goes on.  A
 band's bucket is never expanded into pairs.  First its members meet its most central member, the one
-that shares most buckets with others over all bands.  Then, as long as new links come up, the members that are not
-linked yet meet a pseudo-random member of another component, another one in each bucket and round.  So work is in
+that shares most buckets with others over all bands.  Then, as long as new links come up, the members meet PIVOTS
+pseudo-random members of other components, others in each bucket and round.  So work is in
 proportion to the rows of the band table, and hot buckets are pre-aggregated before they are joined.
 
 Groups are the connected components of all verified links.  Defined results: a null text, or one
@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .filters import Filter
 from .graph import components
 from .tables import cut, read
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 REGISTERS = BANDS * ROWS
+#: Members of a bucket that all its others meet in a later round.
+PIVOTS = 4
 _SEQUENCE = 0xA24BAED4963EE407
 
 
@@ -112,18 +115,23 @@ def sketch(docs: DataFrame, doc_id: str, text: str, bands: int = BANDS, rows: in
 
 
 def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, s: the distinct shingles of the documents in ids, by 32-bit hash."""
+    """id, s: the distinct shingles of the documents in ids, by 32-bit hash.  Texts are not shuffled: each
+    task makes the sets of the documents that pass a filter of ids, and an exact semi-join follows."""
+    shared = docs.sparkSession.sparkContext.broadcast(Filter.of(ids, "id").words)  # of fixed size
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = Filter(shared.value)
         for batch in it:
+            batch = batch.filter(batch.column(0).is_valid())
+            batch = batch.filter(pa.array(wanted.may_have(np.asarray(batch.column(0)))))
             column = W.strings(batch.column(1))
             for lo, hi in W.slices(column):
                 element, _, at = shingles(*W.words(column.slice(lo, hi - lo)))
                 folded = (element >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(folded))], names=["id", "s"])
 
-    some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).join(ids, "id", "left_semi")
-    return some.mapInArrow(batches, "id long, s array<int>")
+    made = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(batches, "id long, s array<int>")
+    return made.join(ids, "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -153,21 +161,17 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
     pivot = members.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("central", -F.col("id"))).alias("p")).select("key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.id").alias("p_root"))
     sets = cut(_sets(docs, members.select("id").distinct(), doc_id, text).dropDuplicates(["id"]))
     links = cut(_verified(_pairs(members.withColumn("root", F.col("id")), pivot, similarity), sets, similarity))
-    tried, number = 0, 0
+    number = 0
     while True:
         roots = components(links)
         known = cut(members.select("key", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-        order = F.xxhash64("id", "key", F.lit(number))
-        pivot = known.groupBy("key").agg(F.min_by(F.struct("id", "n", "root"), order).alias("p"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        pivot = pivot.select("key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.root").alias("p_root"))
+        some = [F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", "key", F.lit(number * PIVOTS + i))) for i in range(PIVOTS)]
+        pivot = known.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("p"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        pivot = pivot.select("key", F.explode("p").alias("p")).select("key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.root").alias("p_root"))
         fresh = cut(_verified(_pairs(known, pivot, similarity), sets, similarity))
-        number += 1
         if fresh.isEmpty():
-            tried += 1
-            if tried == 2:
-                break
-        else:
-            tried, links = 0, links.union(fresh)
+            break
+        number, links = number + 1, links.union(fresh)
     classes = marks.select("id", "x", "y", "n").join(first.select("x", "y", F.col("d.id").alias("head"), F.lit(1).alias("one")), ["x", "y"], "left")
     named = classes.withColumn("head", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("head")).otherwise(F.col("id")))
     named = named.join(roots.select(F.col("node").alias("head"), "root"), "head", "left")
