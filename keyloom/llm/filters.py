@@ -46,9 +46,9 @@ class Filter:
         h = F.xxhash64(*(F.col(c).cast("long") for c in columns))
         places: list[Column] = [h.bitwiseAND(BITS - 1), F.shiftrightunsigned(h, 32).bitwiseAND(BITS - 1)]
         bits = keys.select(F.explode(F.array(*places)).alias("p"))
-        rows = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b")).toPandas()
+        rows = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b")).toArrow()
         words = np.zeros(BITS // 64, _U)
-        words[rows.w.to_numpy(np.int64)] = rows.b.to_numpy(np.int64).view(_U)
+        words[np.asarray(rows["w"])] = np.asarray(rows["b"]).view(_U)
         return cls(words)
 
     def may_have(self, *columns: np.ndarray) -> np.ndarray:

@@ -5,12 +5,13 @@ table of RARITY counters (words that share a counter share a rank; any order com
 exact results).  Two lines of similarity t or more share one of the n - ceil(t n) + 1 rarest words of
 each (prefix filter), of which one posting each is dealt to the word's bucket.  In a bucket, the lines of a word
 meet in the order of the documents.  A pair goes on if its sizes (length filter), its places in the two prefixes
-(positional filter) and the 64-bit maps of its words allow enough common words; it is then verified by exact Jaccard.
+(positional filter) and the counts of its words over 16 hash classes allow enough common words (16 numbers of four bits, compared
+modulo 16, which can only understate how much two lines differ); it is then verified by exact Jaccard.
 
 A line goes if any earlier line is similar enough, whether or not that one goes as well; earlier is by
-(doc_id, line number).  So a line needs one match.  Of each word it first meets only the earliest line
-that passes the filters; lines that fail with these and had more to meet, then meet all the rest.  Copies cost one
-candidate each, however many there are, and nothing is capped.  Copies within a batch are settled before
+(doc_id, line number).  So a line needs one match.  Of the lines of a word that pass the filters it first meets all, if they are
+few, or else the closest; lines that fail with these and had more to meet, then meet all the rest.  Copies cost a few
+candidates each, however many there are, and nothing is capped.  Copies within a chunk of a task are settled before
 the shuffle.
 
 Defined results: lines are split at \\n; a line without a word never goes; a null text has no lines.  Rows
@@ -28,13 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .filters import Filter
 from .tables import cut, read
 
-SIMILARITY, RARITY = 0.8, 1 << 17
-#: Buckets of postings for each partition of the input.
-SPREAD = 4
+SIMILARITY, RARITY = 0.8, 1 << 18
+#: Earlier lines of a word that a line is verified with at once: all, if there are so many at most, else the closest
+#: CLOSE; postings of a very common word.
+FEW, CLOSE, COMMON = 2, 1, 1024
+#: Buckets of postings for each partition of the input; text whose postings a task holds at once.
+SPREAD, CHUNK_BYTES = 4, 1 << 22
 _CODE = 38  # bits of a word's hash within its code; 6 bits of rarity stand above
-_POST = np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("place", "<i4"), ("map", "<u8")])
+_POST = np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("place", "<i4"), ("counts", "<u8")])
 
 
 def _lines(raw: np.ndarray, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,16 +73,17 @@ def rarity(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["slot", "seen"])
 
-    rows = docs.select("text").mapInArrow(count, "slot long, seen long").groupBy("slot").agg(F.sum("seen").alias("seen")).toPandas()  # RARITY rows at most
-    seen = np.zeros(RARITY)
-    seen[rows.slot] = rows.seen
-    return np.minimum(63, 2 * np.log2(seen + 1)).astype(np.uint64)
+    rows = docs.select("text").mapInArrow(count, "slot long, seen long").groupBy("slot").agg(F.least(F.lit(63), F.floor(2 * F.log2(F.sum("seen") + 1))).cast("byte").alias("rank"))
+    table = rows.select(F.col("slot").cast("int"), "rank").toArrow()  # RARITY rows at most
+    rank = np.zeros(RARITY, np.uint64)
+    rank[np.asarray(table["slot"])] = np.asarray(table["rank"])
+    return rank
 
 
 def _sets(first: np.ndarray, word: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes of the distinct words of each line, rarest first; offsets of the lines)."""
     line = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.concatenate([first, [len(word)]])))
-    code = (rank[(word & np.uint64(RARITY - 1)).astype(np.int64)] << np.uint64(_CODE)) | (word >> np.uint64(64 - _CODE))
+    code = _codes(word, rank)
     if len(first) < 1 << 20:
         packed = np.sort((line << np.uint64(44)) | code)
         packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])] if len(packed) else packed
@@ -94,17 +100,32 @@ def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float) -> DataFrame:
-    """bucket, kind, blob: packed postings (kind 0), and lines that are copies of an earlier one of their batch (kind 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)  # RARITY numbers
+def _codes(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Six bits of rarity, then bits of the hash: words in the order of their codes are rarest first."""
+    return (rank[(word & np.uint64(RARITY - 1)).astype(np.int64)] << np.uint64(_CODE)) | (word >> np.uint64(64 - _CODE))
+
+
+def _place(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, bucket) of a key."""
+    return (key >> np.uint64(32)).astype(np.uint32), (key % np.uint64(buckets)).astype(np.int64)
+
+
+def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Filter | None = None, small: bool = True) -> DataFrame:
+    """bucket, kind, blob: packed postings (kind 0), and lines that are copies of an earlier one of their chunk (kind 1).
+    With `only`, a filter of (bucket, token), just the postings that pass it; not `small`: none of up to three words is asked for."""
+    shared = docs.sparkSession.sparkContext.broadcast((rank, None if only is None else only.words))  # of fixed size
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            known = np.asarray(batch.column(0).is_valid())
-            ids = np.asarray(batch.column(0).fill_null(0))
-            posts = []
-            for text, number, first, word in _parts(W.strings(batch.column(1))):
+        ranks, asked = shared.value
+        wanted = None if asked is None else Filter(asked)
+
+        def chunk(ids: np.ndarray, known: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
+            lines, posts, total = [], [], 0
+            for text, number, first, word in _parts(column):
                 use = known[text]
+                if wanted is not None and not small and len(word):  # most lines have none of the words that are asked for
+                    token, bucket = _place(W.mix(_codes(word, ranks)), buckets)
+                    use = use & np.logical_or.reduceat(wanted.may_have(bucket, token.astype(np.int64)), first)
                 if not use.all():
                     words = np.repeat(use, np.diff(np.concatenate([first, [len(word)]])))
                     word = word[words]
@@ -112,56 +133,55 @@ def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float) -> DataF
                     text, number = text[use], number[use]
                 if not len(first):
                     continue
-                code, at = _sets(first, word, shared.value)
+                code, at = _sets(first, word, ranks)
                 n = np.diff(at)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (W.mix(code) >> np.uint64(58)), at[:-1])
-                table = np.zeros(len(n), _POST)
-                table["doc"], table["line"], table["n"], table["map"] = ids[text], number, n, bits
+                cell = np.bincount((W.owners(at) << 4) | (W.mix(code) >> np.uint64(60)).astype(np.int64), minlength=16 * len(n)).reshape(-1, 16)
+                counts = ((cell & 15).astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(1, dtype=np.uint64)
                 mark = np.add.reduceat(W.mix(code ^ np.uint64(0xABCD)), at[:-1]) ^ W.mix(n.astype(np.uint64))
-                take = np.repeat(prefix_length(n, t), n) > np.arange(len(code)) - np.repeat(at[:-1], n)
-                line = W.owners(at)[take]
-                post = table[line]
-                post["place"] = (np.arange(len(code)) - np.repeat(at[:-1], n))[take]
-                key = W.mix(code[take])
-                small = post["n"] <= 3  # such lines match equal sets only
-                key[small] = mark[line[small]]
-                post["token"] = (key >> np.uint64(32)).astype(np.uint32)
-                posts.append((post, key % np.uint64(buckets), table, mark))
-            if not posts:
-                continue
-            table, mark = np.concatenate([p[2] for p in posts]), np.concatenate([p[3] for p in posts])
-            order = np.lexsort((table["line"], table["doc"], mark))
-            copy = np.zeros(len(order), bool)
+                size = prefix_length(n, t)
+                line = np.repeat(np.arange(len(n)), size)
+                place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+                key = W.mix(code[np.repeat(at[:-1], size) + place])
+                few = n[line] <= 3  # such lines match equal sets only
+                key[few] = mark[line[few]]
+                token, bucket = _place(key, buckets)
+                line += total
+                if wanted is not None:
+                    some = wanted.may_have(bucket, token.astype(np.int64))
+                    line, place, token, bucket = line[some], place[some], token[some], bucket[some]
+                lines.append((ids[text], number, n, counts, mark))
+                posts.append((line, place, token, bucket))
+                total += len(n)
+            if not lines:
+                return
+            doc, number, n, counts, mark = (np.concatenate(c) for c in zip(*lines, strict=True))
+            line, place, token, bucket = (np.concatenate(c) for c in zip(*posts, strict=True))
+            order = np.lexsort((number, doc, mark))
+            copy = np.zeros(total, bool)
             copy[order[1:]] = mark[order[1:]] == mark[order[:-1]]
-            lead = order[np.maximum.accumulate(np.where(~copy[order], np.arange(len(order)), 0))]
-            same = (table["doc"][lead] == table["doc"][order]) & (table["line"][lead] == table["line"][order])  # a repeated row
+            lead = order[np.maximum.accumulate(np.where(~copy[order], np.arange(total), 0))]
+            same = (doc[lead] == doc[order]) & (number[lead] == number[order])  # a repeated row
             gone = order[copy[order] & ~same]
-            start, keep = 0, []
-            for post, _, lines, _ in posts:
-                line_of = np.cumsum(post["place"] == 0) - 1 + start
-                keep.append(~copy[line_of])
-                start += len(lines)
-            keep = np.concatenate(keep)
-            post = np.concatenate([p[0] for p in posts])[keep]
-            bucket = np.concatenate([p[1] for p in posts])[keep].astype(np.int64)
-            rows: list[tuple[int, int, bytes]] = []
-            by = np.argsort(bucket, kind="stable")
-            edge = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                rows.append((int(bucket[by[a]]), 0, _pack(post[by[a:b]])))
-            if len(gone):
-                rows.append((int(mark[gone[0]] % np.uint64(buckets)), 1, _pack(table[gone])))
+            columns = lambda i, p, tok: [tok, doc[i], number[i].astype(np.int32), n[i].astype(np.int32), p.astype(np.int32), counts[i]]  # noqa: E731  in the order of _POST
+            by = np.flatnonzero(~copy[line])
+            by = by[np.argsort(bucket[by].astype(np.uint16) if buckets <= 1 << 16 else bucket[by], kind="stable")]
+            bucket, full = bucket[by], columns(line[by], place[by], token[by])
+            edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            rows = [(int(bucket[a]), 0, b"".join(c[a:b].tobytes() for c in full)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            if len(gone) and wanted is None:
+                rows.append((int(mark[gone[0]] % np.uint64(buckets)), 1, b"".join(c.tobytes() for c in columns(gone, np.zeros(len(gone)), np.zeros(len(gone), np.uint32)))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "bucket long, kind int, blob binary")
-
+        for batch in it:
+            known, ids, column = np.asarray(batch.column(0).is_valid()), np.asarray(batch.column(0).fill_null(0)), W.strings(batch.column(1))
+            for lo, hi in W.slices(column, CHUNK_BYTES):
+                yield from chunk(ids[lo:hi], known[lo:hi], column.slice(lo, hi - lo))
 
-def _pack(table: np.ndarray) -> bytes:
-    """Column by column, which compresses better."""
-    return b"".join(np.ascontiguousarray(table[c]).tobytes() for c in _POST.names)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "bucket long, kind int, blob binary")
 
 
 def _unpack(blobs: list[bytes]) -> np.ndarray:
+    """Postings are packed column by column, which compresses better."""
     out = []
     for blob in blobs:
         n, at = len(blob) // _POST.itemsize, 0
@@ -174,108 +194,156 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, _POST)
 
 
-def _ordered(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(postings by word, then document order; first posting of the word of each)."""
-    post = _unpack(blobs)
-    post = post[np.lexsort((post["line"], post["doc"], post["token"]))]
-    fresh = np.ones(len(post), bool)
-    fresh[1:] = post["token"][1:] != post["token"][:-1]
-    return post, np.maximum.accumulate(np.where(fresh, np.arange(len(post)), 0))
-
-
-def _may(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
-    """Length, positional and bitmap filters on pairs of postings."""
-    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    need = np.ceil(t / (1 + t) * (n + m) - 1e-9)
-    fine = (np.minimum(n, m) >= t * np.maximum(n, m) - 1e-9) & (1 + np.minimum(n - x["place"], m - y["place"]) - 1 >= need)
-    fine &= (n + m - np.bitwise_count(x["map"] ^ y["map"])) // 2 >= need
-    return fine & ~((x["doc"] == y["doc"]) & (x["line"] == y["line"]))
-
-
-_FOUND = "y_doc long, y_line int, x_doc long, x_line int, kind int, bucket long, token long, nth long"
-_KINDS = pa.schema([("y_doc", pa.int64()), ("y_line", pa.int32()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("token", pa.int64()), ("nth", pa.int64())])
+class _Postings:
+    """Postings of a bucket by word, then document order, as columns; `start` is the first of the same word."""
+
+    def __init__(self, blobs: list[bytes], t: float):
+        post = _unpack(blobs)
+        post = post[np.lexsort((post["line"], post["doc"], post["token"]))]
+        self.t = t
+        self.token, self.doc, self.line, self.n, self.counts = (np.ascontiguousarray(post[c]) for c in ("token", "doc", "line", "n", "counts"))
+        self.tail = self.n - post["place"]  # words from this one on
+        fresh = np.ones(len(post), bool)
+        fresh[1:] = self.token[1:] != self.token[:-1]
+        self.start = np.maximum.accumulate(np.where(fresh, np.arange(len(post)), 0))
+        self.low = self.counts & np.uint64(0x0F0F0F0F0F0F0F0F)
+        self.high = (self.counts >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)
+
+    def __len__(self) -> int:
+        return len(self.token)
+
+    def may(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which pairs pass the length, positional and count filters, how far apart these are)."""
+        n, m = self.n[x], self.n[y]
+        at = np.flatnonzero(np.minimum(n, m) >= self.t * np.maximum(n, m) - 1e-9)
+        x, y, both = x[at], y[at], (n + m)[at]
+        need = np.ceil(self.t / (1 + self.t) * both - 1e-9)
+        ok = (np.minimum(self.tail[x], self.tail[y]) >= need) & ~((self.doc[x] == self.doc[y]) & (self.line[x] == self.line[y]))
+        at, x, y, most = at[ok], x[ok], y[ok], (both - 2 * need)[ok]
+        apart = np.zeros(len(at), np.int64)
+        for part in (self.low, self.high):
+            gap = (part[x].view(np.uint8) - part[y].view(np.uint8)) & 15
+            apart += np.minimum(gap, 16 - gap).reshape(-1, 8).sum(1, dtype=np.int64)
+        ok = apart <= most
+        return at[ok], apart[ok]
+
+
+_FOUND = "y_doc long, y_line int, x_doc long, x_line int, kind int, bucket long, token long, n int"
+_KINDS = pa.schema([("y_doc", pa.int64()), ("y_line", pa.int32()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("token", pa.int64()), ("n", pa.int32())])
+
+
+def _rows(posts: _Postings, y: np.ndarray, x: np.ndarray, kind: np.ndarray | int, bucket: int) -> pa.Table:
+    full = lambda v: np.full(len(y), v) if np.isscalar(v) else v
+    cols = [posts.doc[y], posts.line[y], posts.doc[x], posts.line[x], full(kind), full(bucket), posts.token[y], posts.n[y]]
+    return pa.table([pa.array(c).cast(f.type) for c, f in zip(cols, _KINDS, strict=True)], schema=_KINDS)
 
 
-def _rows(y: np.ndarray, x: np.ndarray, kind: np.ndarray | int, bucket: int, nth: np.ndarray | int) -> pa.Table:
-    full = lambda v: np.full(len(y), v) if np.isscalar(v) else v
-    cols = [y["doc"], y["line"], x["doc"], x["line"], full(kind), full(bucket), y["token"], full(nth)]
-    return pa.table([pa.array(np.ascontiguousarray(c)).cast(f.type) for c, f in zip(cols, _KINDS, strict=True)], schema=_KINDS)
+def _near(posts: _Postings, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, apart) of the pairs of one word that pass, x earlier; index: postings by word and size.  Each
+    posting meets those that follow it in this order as long as their sizes allow."""
+    token, n = posts.token[index], posts.n[index]
+    live, k = np.arange(len(index)), 1
+    while len(live):
+        live = live[live + k < len(index)]
+        live = live[(token[live] == token[live + k]) & (n[live] >= posts.t * n[live + k] - 1e-9)]
+        a, b = index[live], index[live + k]
+        x, y = np.minimum(a, b), np.maximum(a, b)
+        at, apart = posts.may(x, y)
+        yield x[at], y[at], apart
+        k += 1
 
 
 def _first(t: float):
-    """For each posting the earliest line of its word that passes the filters: kind 0, or 2 if more may pass.  Kind 1: copies."""
+    """Pairs of lines that pass the filters.  A line with up to FEW earlier ones of a word gets them all (kind 0); one
+    with more gets the CLOSE closest, or in very common words the earliest (kind 2).  Kind 1: copies."""
 
     def meet(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py() if len(table) else 0
         kind, blobs = np.asarray(table["kind"]), table["blob"].to_pylist()
-        post, start = _ordered([b for b, k in zip(blobs, kind, strict=True) if k == 0])
-        gone = _unpack([b for b, k in zip(blobs, kind, strict=True) if k == 1])
-        ys, ns, k = [], [], 0
-        live = np.flatnonzero(start < np.arange(len(post)))
+        posts = _Postings([b for b, k in zip(blobs, kind, strict=True) if k == 0], t)
+        gone = _Postings([b for b, k in zip(blobs, kind, strict=True) if k == 1], t)
+        everyone = np.arange(len(gone))
+        out = [_rows(gone, everyone, everyone, 1, bucket)]
+        if not len(posts):
+            return out[0]
+        size = np.diff(np.append(np.unique(posts.start), len(posts)))
+        common = np.repeat(size > COMMON, size)
+        some = np.flatnonzero(~common & np.repeat(size > 1, size))
+        some = some[np.lexsort((posts.n[some], posts.token[some]))]
+        found = list(_near(posts, some))
+        if found:
+            x, y, apart = (np.concatenate(v) for v in zip(*found, strict=True))
+            order = np.lexsort((x, apart, y))
+            x, y = x[order], y[order]
+            head = np.flatnonzero(np.diff(y, prepend=-1))
+            many = np.diff(np.append(head, len(y)))
+            more = np.repeat(many > FEW, many)
+            keep = ~more | (np.arange(len(y)) - np.repeat(head, many) < CLOSE)
+            out.append(_rows(posts, y[keep], x[keep], np.where(more[keep], 2, 0), bucket))
+        live, k = np.flatnonzero(common), 0
         while len(live):
-            hit = _may(post[start[live] + k], post[live], t)
-            ys.append(live[hit])
-            ns.append(np.full(int(hit.sum()), k))
+            live = live[posts.start[live] + k < live]
+            at, _ = posts.may(posts.start[live] + k, live)
+            y = live[at]
+            out.append(_rows(posts, y, posts.start[y] + k, np.where(posts.start[y] + k + 1 < y, 2, 0), bucket))
+            live = np.delete(live, at)
             k += 1
-            live = live[~hit]
-            live = live[start[live] + k < live]
-        y, n = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (ys, ns))
-        more = start[y] + n + 1 < y
-        return pa.concat_tables([_rows(post[y], post[start[y] + n], np.where(more, 2, 0), bucket, n + 1), _rows(gone, gone, 1, bucket, 0)])
+        return pa.concat_tables(out)
 
     return meet
 
 
 def _rest(t: float):
-    """For the asked postings, all earlier lines from the nth of their word on that pass the filters."""
+    """For the asked lines, all earlier ones of the word that pass the filters."""
 
     def meet(table: pa.Table, asked: pa.Table) -> pa.Table:
-        none = np.empty(0, _POST)
-        if not len(asked) or not len(table):
-            return _rows(none, none, 0, 0, 0)
-        post, _ = _ordered([b for b, k in zip(table["blob"].to_pylist(), table["kind"].to_pylist(), strict=True) if k == 0])
-        out = []
-        for token, doc, line, nth in zip(*(asked[c].to_pylist() for c in ("token", "y_doc", "y_line", "nth")), strict=True):
-            a = int(np.searchsorted(post["token"], token)) + nth
-            b = int(np.searchsorted(post["token"], token, "right"))
-            mine = np.flatnonzero((post["doc"][a:b] == doc) & (post["line"][a:b] == line))
-            if len(mine):
-                x = np.arange(a, a + mine[0])
-                x = x[_may(post[x], np.broadcast_to(post[a + mine[0]], len(x)), t)]
-                out.append(_rows(np.repeat(post[a + mine[0] : a + mine[0] + 1], len(x)), post[x], 0, asked["bucket"][0].as_py(), 0))
-        return pa.concat_tables(out) if out else _rows(none, none, 0, 0, 0)
+        posts = _Postings([b for b, k in zip(table["blob"].to_pylist(), table["kind"].to_pylist(), strict=True) if k == 0], t)
+        none = np.zeros(0, np.int64)
+        out = [_rows(posts, none, none, 0, 0)]
+        if len(asked) and len(posts):
+            mark = lambda token, doc, line: W.mix(W.mix(doc.astype(np.int64).view(np.uint64)) + (line.astype(np.uint64) << np.uint64(32)) + token.astype(np.uint64))
+            have, want = mark(posts.token, posts.doc, posts.line), mark(*(np.asarray(asked[c]) for c in ("token", "y_doc", "y_line")))
+            order = np.argsort(have)
+            place = np.minimum(np.searchsorted(have[order], want), len(have) - 1)
+            ys = order[place][have[order][place] == want]
+            for lo in range(0, len(ys), 256):
+                y = ys[lo : lo + 256]
+                many = y - posts.start[y]
+                each = np.repeat(y, many)
+                x = np.repeat(posts.start[y], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                at, _ = posts.may(x, each)
+                out.append(_rows(posts, each[at], x[at], 0, 0))
+        return pa.concat_tables(out)
 
     return meet
 
 
 def _line_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """doc, line, s: the word hashes of the needed (doc, line)."""
+    """doc, line, s: the word hashes of the needed (doc, line).  Texts are not shuffled: each task makes the
+    sets of the lines that pass a filter of the needed ones, and an exact semi-join follows."""
+    shared = docs.sparkSession.sparkContext.broadcast([Filter.of(needed, "doc").words, Filter.of(needed, "doc", "line").words])  # of fixed size
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, line = (Filter(w) for w in shared.value)
         for batch in it:
+            batch = batch.filter(batch.column(0).is_valid())
+            batch = batch.filter(pa.array(doc.may_have(np.asarray(batch.column(0)))))
             ids = np.asarray(batch.column(0))
-            wanted = batch.column(2)
-            lists = np.asarray(wanted.flatten())
-            owner = np.repeat(np.arange(len(ids)), np.diff(np.asarray(wanted.offsets)))
-            asked = np.sort(owner.astype(np.int64) << 32 | lists)
             for text, number, first, word in _parts(W.strings(batch.column(1))):
-                mark = text.astype(np.int64) << 32 | number
-                at = np.minimum(np.searchsorted(asked, mark), len(asked) - 1)
-                use = asked[at] == mark
+                use = line.may_have(ids[text], number)
                 ends = np.concatenate([first[1:], [len(word)]])
                 sets = [np.unique(word[a:b]).view(np.int64) for a, b in zip(first[use], ends[use], strict=True)]
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[text[use]]), pa.array(number[use].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "line", "s"])
 
-    lines = needed.groupBy("doc").agg(F.collect_set("line").alias("lines"))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(lines, "doc").select("doc", "text", "lines")
-    return some.mapInArrow(batches, "doc long, line int, s array<long>").dropDuplicates(["doc", "line"])
+    made = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(batches, "doc long, line int, s array<long>")
+    return made.join(needed, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """y_doc, y_line of the pairs that are similar enough."""
-    needed = pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).union(pairs.select("x_doc", "x_line")).distinct()
+    needed = cut(pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).union(pairs.select("x_doc", "x_line")).distinct())
     sets = _line_sets(docs, needed)
     named = lambda p: sets.select(F.col("doc").alias(f"{p}_doc"), F.col("line").alias(f"{p}_line"), F.col("s").alias(f"{p}_s"))
     both = pairs.join(named("x"), ["x_doc", "x_line"]).join(named("y"), ["y_doc", "y_line"])
@@ -287,13 +355,15 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """doc_id, line (from 0) of every line that goes."""
     docs = docs.select("doc_id", "text")
     buckets = SPREAD * docs.rdd.getNumPartitions()
-    posts = postings(docs, rarity(docs), buckets, similarity)
+    rank = rarity(docs)
+    posts = postings(docs, rank, buckets, similarity)
     found = cut(posts.groupBy("bucket").applyInArrow(_first(similarity), _FOUND))
     pairs = found.where("kind <> 1")
     gone = cut(_verified(docs, pairs.select("y_doc", "y_line", "x_doc", "x_line").distinct(), similarity).union(found.where("kind = 1").select("y_doc", "y_line").distinct()))
-    open_ = cut(pairs.where("kind = 2").join(gone, ["y_doc", "y_line"], "left_anti").select("bucket", "token", "y_doc", "y_line", "nth"))
+    open_ = cut(pairs.where("kind = 2").join(gone, ["y_doc", "y_line"], "left_anti").select("bucket", "token", "y_doc", "y_line", "n"))
     if not open_.isEmpty():
-        rest = posts.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_rest(similarity), _FOUND)
+        again = postings(docs, rank, buckets, similarity, Filter.of(open_, "bucket", "token"), small=not open_.where("n <= 3").isEmpty())
+        rest = again.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_rest(similarity), _FOUND)
         rest = cut(rest.select("y_doc", "y_line", "x_doc", "x_line").distinct())
         gone = gone.union(_verified(docs, rest, similarity))
     return gone.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"))
@@ -314,5 +384,8 @@ def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = repeated_lines(read(spark, sf_dir, "documents"))
-    return lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.countDistinct("line").alias("n_lines"))
+    """One row a document: its lines that go (from 0, in order) and their number."""
+    docs = read(spark, sf_dir, "documents")
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    none = F.array().cast("array<int>")
+    return docs.select("doc_id").join(gone, "doc_id", "left").select("doc_id", F.coalesce("lines", none).alias("lines"), F.size(F.coalesce("lines", none)).cast("long").alias("n_removed"))

@@ -78,9 +78,9 @@ def fit(docs: DataFrame, good: np.ndarray, doc_id: str = "doc_id", text: str = "
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    rows = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    rows = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[rows.bucket], target[rows.bucket] = rows.raw, rows.target
+    raw[np.asarray(rows["bucket"])], target[np.asarray(rows["bucket"])] = np.asarray(rows["raw"]), np.asarray(rows["target"])
     if not target.sum():
         return np.zeros(BUCKETS)
     return np.log((target + PRIOR) / (raw * (target.sum() / raw.sum()) + PRIOR))

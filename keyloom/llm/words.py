@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Text is handled in slices of about this many bytes, whatever the size of an Arrow batch.
 SLICE_BYTES = 1 << 20
+#: Hashes are computed over blocks of about this many bytes, whose temporary arrays fit a core's cache.
+BLOCK_BYTES = 1 << 16
 
 _U = np.uint64
 _SEP = np.zeros(256, bool)
@@ -47,8 +49,8 @@ _POWERS: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = powers(base, max(n, SLICE_BYTES + 4096))
-        if n <= 2 * SLICE_BYTES:
+        have = powers(base, max(n, BLOCK_BYTES + 4096))
+        if n <= 4 * BLOCK_BYTES:
             _POWERS[base] = have
     return have[:n]
 
@@ -103,7 +105,7 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK_BYTES, "right")))
         first, last = int(starts[lo]), int(ends[hi - 1])
         total = np.zeros(last - first + 1, np.uint64)
         np.cumsum(_BYTE[raw[first:last]] * _power(_BASE, last - first), out=total[1:])

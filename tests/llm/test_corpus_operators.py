@@ -75,6 +75,21 @@ def test_resampling_without_labels(judged):
     assert resampling.resample(docs.limit(0), labels).count() == 0
 
 
+# ---- filters ----
+
+
+def test_filter_has_no_false_negatives(spark):
+    from keyloom.llm.filters import Filter
+
+    r = np.random.default_rng(3)
+    a, b = r.integers(-(2**63), 2**63, 2000), r.integers(0, 50, 2000)
+    table = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)] + [(None, None)], "a long, b int")
+    one, two = Filter.of(table, "a"), Filter.of(table, "a", "b")
+    assert one.may_have(a).all() and two.may_have(a, b).all()
+    assert one.may_have(a + 1).mean() < 0.01 and two.may_have(a, b + 60).mean() < 0.01
+    assert not Filter.of(table.limit(0), "a").may_have(a).any()
+
+
 # ---- near duplicates ----
 
 
