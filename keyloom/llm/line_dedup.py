@@ -73,7 +73,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["slot", "seen"])
 
-    rows = docs.select("text").mapInArrow(count, "slot long, seen long").groupBy("slot").agg(F.least(F.lit(63), F.floor(2 * F.log2(F.sum("seen") + 1))).cast("byte").alias("rank"))
+    rows = docs.select("text").mapInArrow(W.lean(count), "slot long, seen long").groupBy("slot").agg(F.least(F.lit(63), F.floor(2 * F.log2(F.sum("seen") + 1))).cast("byte").alias("rank"))
     table = rows.select(F.col("slot").cast("int"), "rank").toArrow()  # RARITY rows at most
     rank = np.zeros(RARITY, np.uint64)
     rank[np.asarray(table["slot"])] = np.asarray(table["rank"])
@@ -177,7 +177,7 @@ def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Fi
             for lo, hi in W.slices(column, CHUNK_BYTES):
                 yield from chunk(ids[lo:hi], known[lo:hi], column.slice(lo, hi - lo))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "bucket long, kind int, blob binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(W.lean(deal), "bucket long, kind int, blob binary")
 
 
 def _unpack(blobs: list[bytes]) -> np.ndarray:
@@ -288,6 +288,8 @@ def _first(t: float):
             out.append(_rows(posts, y, posts.start[y] + k, np.where(posts.start[y] + k + 1 < y, 2, 0), bucket))
             live = np.delete(live, at)
             k += 1
+        del posts, gone, blobs
+        W.trim()
         return pa.concat_tables(out)
 
     return meet
@@ -337,7 +339,7 @@ def _line_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[text[use]]), pa.array(number[use].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "line", "s"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(batches, "doc long, line int, s array<long>")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(W.lean(batches), "doc long, line int, s array<long>")
     return made.join(needed, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
 
 

@@ -111,7 +111,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, bands: int = BANDS, rows: in
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(x), pa.array(y), pa.array(np.diff(to)), lists], names=["id", "x", "y", "n", "bands"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(batches, "id long, x long, y long, n long, bands array<long>")
+    return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(W.lean(batches), "id long, x long, y long, n long, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
                 folded = (element >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(folded))], names=["id", "s"])
 
-    made = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(batches, "id long, s array<int>")
+    made = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(W.lean(batches), "id long, s array<int>")
     return made.join(ids, "id", "left_semi")
 
 

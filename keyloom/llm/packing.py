@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import cut, kinds, read
+from .words import lean
 
 CAPACITY, END = 1024, 2
 #: Free tokens of a nearly full bin; tasks that one merges; items that a task packs at once; underfull bins of a fill level that it passes on.
@@ -79,7 +80,7 @@ def pieces(docs: DataFrame, path: str, ranks: str | None = None, doc_id: str = "
             table = np.array(out, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(table[:, 0].astype(np.int32)), *(pa.array(table[:, k]) for k in (1, 2, 3))], names=[doc_id, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(docs[f"`{doc_id}`"], docs[f"`{text}`"].alias("__text")).mapInArrow(batches, f"{kinds(docs, doc_id)} piece int, start long, length long, ids_crc32 long")
+    return docs.select(docs[f"`{doc_id}`"], docs[f"`{text}`"].alias("__text")).mapInArrow(lean(batches), f"{kinds(docs, doc_id)} piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

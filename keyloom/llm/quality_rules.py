@@ -174,7 +174,7 @@ def assess(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found.values())], names=[*keep, *found])
 
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
-    return docs.select(*keep, docs[f"`{text}`"].alias("__text")).mapInArrow(batches, kinds(docs, *keep) + counts)
+    return docs.select(*keep, docs[f"`{text}`"].alias("__text")).mapInArrow(W.lean(batches), kinds(docs, *keep) + counts)
 
 
 def keep_good(docs: DataFrame, text: str = "text", **limits: int) -> DataFrame:
@@ -184,7 +184,7 @@ def keep_good(docs: DataFrame, text: str = "text", **limits: int) -> DataFrame:
         for batch in it:
             yield batch.filter(pa.array(judge(W.strings(batch.column(text)), **limits)["kept"]))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(W.lean(batches), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

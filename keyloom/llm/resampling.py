@@ -78,7 +78,7 @@ def fit(docs: DataFrame, good: np.ndarray, doc_id: str = "doc_id", text: str = "
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    rows = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    rows = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(W.lean(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[np.asarray(rows["bucket"])], target[np.asarray(rows["bucket"])] = np.asarray(rows["raw"]), np.asarray(rows["target"])
     if not target.sum():
@@ -130,7 +130,7 @@ def model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, int]:
             weight, key = scores(batch.column(0), batch.column(1), ratio)
             yield pa.RecordBatch.from_arrays([pa.array(weight), pa.array(key), pa.array(_has(_ids(batch.column(0)), held))], names=["weight", "key", "held"])
 
-    scored = cut(docs.select("doc_id", "text").mapInArrow(score, "weight long, key long, held boolean").where(F.col("weight") > -(2**62)))
+    scored = cut(docs.select("doc_id", "text").mapInArrow(W.lean(score), "weight long, key long, held boolean").where(F.col("weight") > -(2**62)))
     sample = scored.where("held")
     reach = sample.count()
     level = kth_largest(sample, "weight", reach - int(LOST * reach)) if reach and ratio.any() else None
@@ -155,7 +155,7 @@ def resample(docs: DataFrame, labels: DataFrame, digest: bool = False) -> DataFr
             else:
                 yield batch.filter(pa.array(key >= least))
 
-    return source.mapInArrow(take, kinds(docs, "doc_id") + "log_weight double, sample_key double, kept boolean" if digest else docs.schema)
+    return source.mapInArrow(W.lean(take), kinds(docs, "doc_id") + "log_weight double, sample_key double, kept boolean" if digest else docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
