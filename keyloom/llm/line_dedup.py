@@ -110,9 +110,9 @@ def _place(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(32)).astype(np.uint32), (key % np.uint64(buckets)).astype(np.int64)
 
 
-def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Filter | None = None, small: bool = True) -> DataFrame:
+def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Filter | None = None) -> DataFrame:
     """bucket, kind, blob: packed postings (kind 0), and lines that are copies of an earlier one of their chunk (kind 1).
-    With `only`, a filter of (bucket, token), just the postings that pass it; not `small`: none of up to three words is asked for."""
+    With `only`, a filter of (bucket, token), just the postings that pass it."""
     shared = docs.sparkSession.sparkContext.broadcast((rank, None if only is None else only.words))  # of fixed size
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +123,6 @@ def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Fi
             lines, posts, total = [], [], 0
             for text, number, first, word in _parts(column):
                 use = known[text]
-                if wanted is not None and not small and len(word):  # most lines have none of the words that are asked for
-                    token, bucket = _place(W.mix(_codes(word, ranks)), buckets)
-                    use = use & np.logical_or.reduceat(wanted.may_have(bucket, token.astype(np.int64)), first)
                 if not use.all():
                     words = np.repeat(use, np.diff(np.concatenate([first, [len(word)]])))
                     word = word[words]
@@ -197,8 +194,15 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
 class _Postings:
     """Postings of a bucket by word, then document order, as columns; `start` is the first of the same word."""
 
-    def __init__(self, blobs: list[bytes], t: float):
+    def __init__(self, blobs: list[bytes], t: float, shared: bool = True):
         post = _unpack(blobs)
+        if shared:  # a word of one posting has no pairs
+            order = np.argsort(post["token"])
+            token = post["token"][order]
+            twice = np.zeros(len(order), bool)
+            twice[1:] = token[1:] == token[:-1]
+            twice[:-1] |= twice[1:]
+            post = post[order[twice]]
         post = post[np.lexsort((post["line"], post["doc"], post["token"]))]
         self.t = t
         self.token, self.doc, self.line, self.n, self.counts = (np.ascontiguousarray(post[c]) for c in ("token", "doc", "line", "n", "counts"))
@@ -228,13 +232,13 @@ class _Postings:
         return at[ok], apart[ok]
 
 
-_FOUND = "y_doc long, y_line int, x_doc long, x_line int, kind int, bucket long, token long, n int"
-_KINDS = pa.schema([("y_doc", pa.int64()), ("y_line", pa.int32()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("token", pa.int64()), ("n", pa.int32())])
+_FOUND = "y_doc long, y_line int, x_doc long, x_line int, kind int, bucket long, token long"
+_KINDS = pa.schema([("y_doc", pa.int64()), ("y_line", pa.int32()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("token", pa.int64())])
 
 
 def _rows(posts: _Postings, y: np.ndarray, x: np.ndarray, kind: np.ndarray | int, bucket: int) -> pa.Table:
     full = lambda v: np.full(len(y), v) if np.isscalar(v) else v
-    cols = [posts.doc[y], posts.line[y], posts.doc[x], posts.line[x], full(kind), full(bucket), posts.token[y], posts.n[y]]
+    cols = [posts.doc[y], posts.line[y], posts.doc[x], posts.line[x], full(kind), full(bucket), posts.token[y]]
     return pa.table([pa.array(c).cast(f.type) for c, f in zip(cols, _KINDS, strict=True)], schema=_KINDS)
 
 
@@ -261,7 +265,7 @@ def _first(t: float):
         bucket = table["bucket"][0].as_py() if len(table) else 0
         kind, blobs = np.asarray(table["kind"]), table["blob"].to_pylist()
         posts = _Postings([b for b, k in zip(blobs, kind, strict=True) if k == 0], t)
-        gone = _Postings([b for b, k in zip(blobs, kind, strict=True) if k == 1], t)
+        gone = _Postings([b for b, k in zip(blobs, kind, strict=True) if k == 1], t, shared=False)
         everyone = np.arange(len(gone))
         out = [_rows(gone, everyone, everyone, 1, bucket)]
         if not len(posts):
@@ -362,9 +366,9 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     found = cut(posts.groupBy("bucket").applyInArrow(_first(similarity), _FOUND))
     pairs = found.where("kind <> 1")
     gone = cut(_verified(docs, pairs.select("y_doc", "y_line", "x_doc", "x_line").distinct(), similarity).union(found.where("kind = 1").select("y_doc", "y_line").distinct()))
-    open_ = cut(pairs.where("kind = 2").join(gone, ["y_doc", "y_line"], "left_anti").select("bucket", "token", "y_doc", "y_line", "n"))
+    open_ = cut(pairs.where("kind = 2").join(gone, ["y_doc", "y_line"], "left_anti").select("bucket", "token", "y_doc", "y_line"))
     if not open_.isEmpty():
-        again = postings(docs, rank, buckets, similarity, Filter.of(open_, "bucket", "token"), small=not open_.where("n <= 3").isEmpty())
+        again = postings(docs, rank, buckets, similarity, Filter.of(open_, "bucket", "token"))
         rest = again.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_rest(similarity), _FOUND)
         rest = cut(rest.select("y_doc", "y_line", "x_doc", "x_line").distinct())
         gone = gone.union(_verified(docs, rest, similarity))
