@@ -8,10 +8,12 @@ probability Jaccard similarity.  Registers are banded; documents that agree in a
 candidates, and are verified by the exact Jaccard similarity of their shingle sets.
 
 Exact copies (equal word sequences) are one class from the start, and only its least document goes on.  A
-band's bucket is never expanded into pairs.  First its members meet its most central member, the one
-that shares most buckets with others over all bands.  Then, as long as new links come up, the members meet PIVOTS
-pseudo-random members of other components, others in each bucket and round.  So work is in
-proportion to the rows of the band table, and hot buckets are pre-aggregated before they are joined.
+band's bucket is never expanded into rows of pairs.  First its members meet its most central member, the one
+that shares most buckets with others over all bands.  Then the buckets whose members are still in different
+components are settled exactly: each is dealt into blocks of bounded size, every two blocks meet in
+one task, and there every two members of different components that a prefix filter (exact: it loses no similar pair) cannot
+part are verified.  A task gives back one link for each join of components.  So no pair that shares a
+bucket is lost, and rows are in proportion to the band table, times the blocks of a bucket.
 
 Groups are the connected components of all verified links.  Defined results: a null text, or one
 without words, is alone.  A text of fewer than SHINGLE words is one shingle.  The least doc_id stands
@@ -34,8 +36,8 @@ from .tables import cut, read
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that all its others meet in a later round.
-PIVOTS = 4
+#: Shingles of a block of members that meet in one task, and those that a member counts for besides its own.
+BLOCK, EACH = 1 << 19, 256
 _SEQUENCE = 0xA24BAED4963EE407
 
 
@@ -148,6 +150,69 @@ def _pairs(members: DataFrame, pivot: DataFrame, similarity: float) -> DataFrame
     return met.select(F.greatest("id", "p_id").alias("u"), F.least("id", "p_id").alias("v")).distinct()
 
 
+def joins(id: np.ndarray, root: np.ndarray, side: np.ndarray, element: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that join the components (root) of similar sets: all that any two sets would join, but for
+    two of one side where there are two sides.  Only one link for each join."""
+    code, token, count = np.unique(element, return_inverse=True, return_counts=True)
+    pair = np.unique(W.owners(at) * len(code) + token)  # distinct, in order
+    owner, token = np.divmod(pair, max(1, len(code)))
+    at = np.searchsorted(owner, np.arange(len(id) + 1))
+    size = np.diff(at)
+    # similar sets share one of the rarest elements of each, in any common order of rarity
+    order = np.lexsort((token, count[token], owner))
+    place = np.arange(len(order)) - at[owner[order]]
+    first = order[(place <= size[owner[order]] - np.ceil(similarity * size[owner[order]] - 1e-6)) & (count[token[order]] > 1)]
+    first = first[np.argsort(token[first], kind="stable")]
+    ends = np.flatnonzero(np.diff(token[first])) + 1
+    met = np.zeros((len(id), len(id)), bool)
+    for rows in np.split(owner[first], ends):
+        if len(rows) > 1:
+            met[np.ix_(rows, rows)] = True
+    two = (side != side[:1]).any()
+    root, u, v, marked = root.copy(), [], [], np.zeros(len(code), bool)
+    for i in np.flatnonzero(met.any(1)):
+        other = np.flatnonzero(met[i, :i])
+        other = other[(root[other] != root[i]) & (np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i]) - 1e-6)]
+        if two:
+            other = other[side[other] != side[i]]
+        if not len(other):
+            continue
+        marked[token[at[i] : at[i + 1]]] = True
+        to = np.concatenate([[0], np.cumsum(size[other])])
+        rows = np.repeat(at[other] - to[:-1], size[other]) + np.arange(to[-1])
+        common = np.add.reduceat(marked[token[rows]].astype(np.int64), to[:-1])
+        marked[token[at[i] : at[i + 1]]] = False
+        like = other[common >= similarity * (size[other] + size[i] - common) - 1e-9]
+        _, one = np.unique(root[like], return_index=True)
+        u.append(np.maximum(id[like[one]], id[i]))
+        v.append(np.minimum(id[like[one]], id[i]))
+        root[np.isin(root, root[like])] = root[i]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + u), np.concatenate(none + v)
+
+
+def _settled(known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """known: key, id, n, root.  Links u, v that join the components of all similar members of each bucket (None: no bucket has two)."""
+    buckets = known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum(F.col("n") + EACH).alias("load")).where("a <> b")
+    buckets = cut(buckets.select("key", "load", F.ceil(F.col("load") / BLOCK).alias("blocks")))
+    load = buckets.agg(F.sum("load")).first()[0]
+    if load is None:
+        return None
+    block = known.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    part = F.when(F.col("blocks") == 1, F.pmod("key", F.lit(load // BLOCK + 1))).otherwise(F.col("key"))  # small buckets meet in one task
+    block = block.select(part.alias("part"), F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "root")
+
+    def meet(table: pa.Table) -> pa.Table:
+        id, first = np.unique(np.asarray(table["id"]), return_index=True)
+        table = table.take(pa.array(first))
+        s = table["s"].combine_chunks()
+        element, at = np.asarray(s.values), np.asarray(s.offsets).astype(np.int64)
+        u, v = joins(id, np.asarray(table["root"]), np.asarray(table["block"]), element[at[0] : at[-1]], at - at[0], similarity)
+        return pa.table({"u": u, "v": v})
+
+    return cut(block.join(sets, "id").groupBy("part", "lo", "hi").applyInArrow(meet, "u long, v long"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the least doc_id of its group)."""
     marks = cut(sketch(docs, doc_id, text, bands, rows))
@@ -161,17 +226,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
     pivot = members.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("central", -F.col("id"))).alias("p")).select("key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.id").alias("p_root"))
     sets = cut(_sets(docs, members.select("id").distinct(), doc_id, text).dropDuplicates(["id"]))
     links = cut(_verified(_pairs(members.withColumn("root", F.col("id")), pivot, similarity), sets, similarity))
-    number = 0
-    while True:
-        roots = components(links)
-        known = cut(members.select("key", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-        some = [F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", "key", F.lit(number * PIVOTS + i))) for i in range(PIVOTS)]
-        pivot = known.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("p"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        pivot = pivot.select("key", F.explode("p").alias("p")).select("key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.root").alias("p_root"))
-        fresh = cut(_verified(_pairs(known, pivot, similarity), sets, similarity))
-        if fresh.isEmpty():
-            break
-        number, links = number + 1, links.union(fresh)
+    roots = components(links)
+    known = cut(members.select("key", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    fresh = _settled(known, sets, similarity)
+    if fresh is not None and not fresh.isEmpty():
+        roots = components(links.union(fresh))
     classes = marks.select("id", "x", "y", "n").join(first.select("x", "y", F.col("d.id").alias("head"), F.lit(1).alias("one")), ["x", "y"], "left")
     named = classes.withColumn("head", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("head")).otherwise(F.col("id")))
     named = named.join(roots.select(F.col("node").alias("head"), "root"), "head", "left")

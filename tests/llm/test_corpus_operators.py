@@ -172,6 +172,22 @@ def test_hot_group(spark):
     assert got == brute_groups(dict(enumerate(texts))) and len(set(got.values())) == 51
 
 
+def test_crowded_bucket(spark, monkeypatch):
+    """Strangers that share a long passage and its buckets, and similar pairs among them: every pair is met, in one block or in many."""
+    r = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(80))
+    own = [[f"d{i}_{k}" for k in range(20)] for i in range(150)]
+    texts = [passage + " " + " ".join(words) for words in own]
+    texts += [passage + " " + " ".join(own[i][:-4]) + f" e{i} f{i}" for i in range(0, 150, 3)]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_groups(dict(enumerate(texts)))
+    assert len(set(want.values())) == 150
+    for block in (1 << 19, 20_000):
+        monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+        assert {x.doc_id: x.class_id for x in near_dup.groups(docs, bands=6, rows=1).collect()} == want
+
+
 # ---- line dedup ----
 
 
