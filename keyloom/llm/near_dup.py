@@ -1,10 +1,10 @@
 """Near-duplicate documents by ProbMinHash.
 
-A document is the set of its runs of SHINGLE words, each weighted by its number of occurrences.
+A document is the set of its runs of SHINGLE words; each weighs 1, however often it occurs, as in the similarity that is verified.
 Every shingle is a Poisson process with its weight as rate, whose points fall into REGISTERS registers; a
 register keeps the shingle of its earliest point, and a shingle is given up at the first point
 later than all registers' (early termination).  Two documents agree in a register with their
-probability Jaccard similarity.  Registers are banded; documents that agree in a band are
+probability Jaccard similarity, which at equal weights is the Jaccard similarity of the sets.  Registers are banded; documents that agree in a band are
 candidates, and are verified by the exact Jaccard similarity of their shingle sets.
 
 Exact copies (equal word sequences) are one class from the start, and only its least document goes on.  A
@@ -107,8 +107,8 @@ def sketch(docs: DataFrame, doc_id: str, text: str, bands: int = BANDS, rows: in
             column = W.strings(batch.column(1))
             for lo, hi in W.slices(column):
                 word, at = W.words(column.slice(lo, hi - lo))
-                element, weight, to = shingles(word, at)
-                keys = _bands(signatures(element, weight, to, bands * rows), bands, rows)
+                element, _, to = shingles(word, at)
+                keys = _bands(signatures(element, np.ones(len(element)), to, bands * rows), bands, rows)
                 x, y = _digests(word, at)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(x), pa.array(y), pa.array(np.diff(to)), lists], names=["id", "x", "y", "n", "bands"])

@@ -188,6 +188,16 @@ def test_crowded_bucket(spark, monkeypatch):
         assert {x.doc_id: x.class_id for x in near_dup.groups(docs, bands=6, rows=1).collect()} == want
 
 
+def test_other_repeat_counts(spark):
+    """Near copies that differ in how often a passage repeats: the sets count, not the occurrences."""
+    texts = []
+    for i in range(8):
+        passage, rest = " ".join(f"p{i}_{k}" for k in range(10)), " ".join(f"r{i}_{k}" for k in range(90))
+        texts += [f"{passage} {passage} {rest}", f"{passage} " * 100 + rest]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in near_dup.groups(docs).collect()} == {i: i - i % 2 for i in range(16)} == brute_groups(dict(enumerate(texts)))
+
+
 # ---- line dedup ----
 
 
