@@ -3,9 +3,11 @@
 Hierarchical residual packing.  Every task packs its own pieces best-fit (longest first, into
 the fullest bin that has room) and marks the nearly full bins as done.  The underfull bins go on
 as items, each with the pieces that it holds, to a tree of merging tasks, FAN_IN to one, that pack them
-best-fit in the same way, until one task is left.  A task holds a bounded number of items
-at a time, and passes on at most CARRY underfull bins of each fill level: among more of one level, the rest
-are closed as they are, so what reaches the top stays bounded whatever the number of documents.
+best-fit in the same way, until one task is left.  A task's pieces come in falling order of length, and until its
+input is at an end it closes nearly full bins only, so it packs as if it had all pieces at once.
+Then it passes on at most CARRY underfull bins of each fill level: among more of one level, the rest
+are closed as they are, so what reaches the top stays bounded whatever the number of documents.  Bins more
+than half full cannot join one another, and a task leaves at most one other bin, so these would hardly be filled.
 
 Each round is written to the checkpoint folder before its bins are used: whether a bin is done
 or goes on is decided once, also when executors are lost.
@@ -30,7 +32,7 @@ from .tables import cut, kinds, read
 from .words import lean
 
 CAPACITY, END = 1024, 2
-#: Free tokens of a nearly full bin; tasks that one merges; items that a task packs at once; underfull bins of a fill level that it passes on.
+#: Free tokens of a nearly full bin; tasks that one merges; items that a task packs at once, at least; underfull bins of a fill level that it passes on.
 SLACK, FAN_IN, CHUNK, CARRY = 2, 8, 50_000, 64
 
 _LONG_RUN = re.compile(r"\S{400}|\s{400}|<\|")
@@ -149,9 +151,10 @@ def _round(capacity: int, number: int, last: bool, slack: int, chunk: int, carry
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bins.used), pa.array(np.full(n, done)), pa.ListArray.from_arrays(pa.array(bins.at, pa.int32()), bins.parts)], names=["bin", "used", "done", "parts"])
 
         waiting: list[_Bins] = []
+        held = 0  # underfull bins after the last packing
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal waiting
+            nonlocal waiting, held
             if not waiting:
                 return
             packed = pack(_join(waiting))
@@ -160,7 +163,7 @@ def _round(capacity: int, number: int, last: bool, slack: int, chunk: int, carry
             rank = np.arange(len(level)) - np.searchsorted(packed.used[level], packed.used[level])
             over = np.empty(len(level), bool)
             over[level] = rank >= carry
-            done = (packed.used >= capacity - slack) | over | (last and final)
+            done = (packed.used >= capacity - slack) | (final & (over | last))
             if done.any():
                 yield rows(packed.pick(np.flatnonzero(done)), True)
             if not done.all():
@@ -169,12 +172,13 @@ def _round(capacity: int, number: int, last: bool, slack: int, chunk: int, carry
                     yield rows(rest, False)
                 else:
                     waiting.append(rest)
+            held = int((~done).sum())
 
         for batch in it:
             parts = batch.column("parts")
             at = np.asarray(parts.offsets).astype(np.int64)
             waiting.append(_Bins(parts.values.slice(at[0], at[-1] - at[0]), at - at[0], np.asarray(batch.column("used")).astype(np.int64)))
-            if sum(len(b.used) for b in waiting) >= chunk:
+            if sum(len(b.used) for b in waiting) >= max(chunk, 2 * held):  # each packing at most half of held bins
                 yield from flush(False)
         yield from flush(True)
 
@@ -191,6 +195,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", sla
     schema = f"bin long, used long, done boolean, parts {bins.schema['parts'].dataType.simpleString()}"
     finished: DataFrame | None = None
     tasks, number = bins.rdd.getNumPartitions(), 0
+    bins = bins.sortWithinPartitions(F.desc("used"))
     while True:
         bins = cut(bins.mapInArrow(_round(capacity, number, number > 0 and tasks == 1, slack, chunk, carry), schema))
         finished = bins.where("done") if finished is None else finished.union(bins.where("done"))

@@ -172,6 +172,17 @@ def test_packing_rounds(spark):
     assert check_packed(alike, 1024) == 500
 
 
+@pytest.mark.parametrize("lengths", [[600] * 2000 + [400] * 2000, [400] * 2000 + [600] * 2000])
+def test_packing_waits_for_the_whole_task(spark, lengths):
+    """Underfull bins of one level wait for pieces that come later in the task."""
+    items = spark.createDataFrame(list(enumerate(lengths)), "id long, length long").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        assert check_packed(packing.pack(items, chunk=500).collect(), 1024) == 2000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # ---- quality rules ----
 
 
