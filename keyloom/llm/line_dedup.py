@@ -139,7 +139,7 @@ def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Fi
                 line = np.repeat(np.arange(len(n)), size)
                 place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
                 key = W.mix(code[np.repeat(at[:-1], size) + place])
-                few = n[line] <= 3  # such lines match equal sets only
+                few = n[line] * (1 - t) < t - 1e-6  # such lines match equal sets only
                 key[few] = mark[line[few]]
                 token, bucket = _place(key, buckets)
                 line += total

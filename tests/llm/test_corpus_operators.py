@@ -232,6 +232,11 @@ def test_near_lines(spark):
     assert {(x.doc_id, x.line) for x in line_dedup.repeated_lines(docs).collect()} == brute_lines(texts)
 
 
+def test_short_lines_at_lower_similarity(spark):
+    docs = spark.createDataFrame([(1, "a b c d\nq r"), (2, "a b c\nq r s")], "doc_id long, text string")
+    assert {(x.doc_id, x.line) for x in line_dedup.repeated_lines(docs, 0.6).collect()} == {(2, 0), (2, 1)}
+
+
 def test_rest_after_a_failed_first_match(spark):
     """The first candidate that passes the filters may fail; a later one must be found."""
     r = random.Random(2)
