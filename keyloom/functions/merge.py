@@ -2,8 +2,8 @@
 
 A merge says how the updates of a key fold into its old value: `project(key, update)` where there is no
 value yet (or a null one), `merge(key, old, update)` after that.  The named merges are plain
-aggregates, combined before the shuffle; `Fold` takes any functions of columns and `PandasFold` any
-Python functions, and both fold a key's updates in order.
+aggregates, of which partial results are shuffled; `Fold` takes any functions of columns and `PandasFold` any
+Python functions, and both fold a key's updates in order, gathered in one row or task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ OrderBy = str | Column | Sequence[str | Column] | None
 
 
 def ordering(order_by: OrderBy) -> Column:
-    """One column to order a key's updates by; without order_by any order will do."""
+    """One column, a struct, to order a key's updates by; without order_by, 0: any order will do."""
     if order_by is None:
         return F.lit(0)
     parts = [order_by] if isinstance(order_by, str | Column) else list(order_by)
@@ -40,6 +40,12 @@ class Algebraic:
     def aggregate(self, value: Column) -> Column:
         return {"sum": F.sum, "min": F.min, "max": F.max}[self.name](value)
 
+    def pair(self, old: Column, update: Column) -> Column:
+        """Of two values."""
+        if self.name == "sum":
+            return F.when(update.isNull(), old).otherwise(old + update)
+        return {"min": F.least, "max": F.greatest}[self.name](old, update)
+
 
 @dataclass(frozen=True)
 class Fold:
@@ -51,7 +57,7 @@ class Fold:
 
 @dataclass(frozen=True)
 class PandasFold:
-    """Ordered left fold with Python functions of values, for logic that columns cannot express."""
+    """Ordered left fold with Python functions of values (None where null), for logic that columns cannot express."""
 
     project: Callable[[Any, Any], Any]
     merge: Callable[[Any, Any, Any], Any]

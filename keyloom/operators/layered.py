@@ -35,6 +35,8 @@ class LayeredFrame:
         first = left.layers if same(left) else [left.compact(cache=False) if isinstance(left, LayeredFrame) else left]
         second = right.layers if same(right) and getattr(f, "associative", False) else [right.compact(cache=False) if isinstance(right, LayeredFrame) else right]
         head = first[0]
+        if differ := {t.keys for t in (*first, *second)} - {head.keys}:
+            raise ValueError(f"key columns differ: {head.keys} and {sorted(differ)[0]}")
         kinds = {tuple(t._packed().schema["__v"].dataType.simpleString() for t in [x])[0] for x in (*first, *second)}
         if len(kinds) > 1:
             raise ValueError(f"layers need values of one type, not {sorted(kinds)}")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom import SUM, KeyedFrame, PandasFold, Reducer, fold
+from keyloom import MAX, MIN, OVERWRITE, SUM, KeyedFrame, PandasFold, Reducer, fold
 
 
 def table(spark, rows, n=3):
@@ -151,3 +151,43 @@ def test_persistence(spark):
     assert as_dict(packed) == as_dict(many) and packed.num_partitions == 3 and t.reindex() is t
     packed.unpersist()
     t.unpersist()
+
+
+def test_named_update_joins(spark):
+    a = table(spark, [(1, 1), (2, None), (3, 3)])
+    rows = spark.createDataFrame([(1, 5, 1), (1, 7, 2), (2, 5, 1), (4, 5, 1), (3, None, 1)], "k long, u int, ord int")
+    updates = rows.select("k", "u")
+    assert as_dict(a.update_join(updates, SUM)) == {1: 13, 2: None, 3: 3}
+    assert as_dict(a.update_join(updates, MIN)) == {1: 1, 2: None, 3: 3} and as_dict(a.update_join(updates, MAX)) == {1: 7, 2: None, 3: 3}
+    last = a.update_join(rows.select("k", F.struct("u", "ord").alias("s")).select("k", F.col("s.u").alias("v"), F.col("s.ord").alias("ord")), OVERWRITE, order_by="ord")
+    assert as_dict(last) == {1: 7, 2: None, 3: None}
+
+
+def test_lazy_tables_as_operands(spark):
+    plus = Reducer(lambda k, x, y: zero(x) + zero(y), associative=True)
+    a, b = table(spark, [(i, i) for i in range(6)]), table(spark, [(i, 10 * i) for i in range(3, 9)], 4)
+    lazy = table(spark, [(i, 1) for i in range(2, 5)]).full_outer_join(b, plus, lazy=True)
+    eager = lazy.merged()
+    assert as_dict(eager) == {2: 1, 3: 31, 4: 41, 5: 50, 6: 60, 7: 70, 8: 80}
+    for f in (
+        lambda o: a.inner_join(o, lambda k, x, y: x + y), lambda o: a.left_join(o, lambda k, x, y: zero(y)), lambda o: a.update_join(o, lambda k, x, y: x - y), lambda o: a.update_join(o, SUM),
+        lambda o: a.diff(o), lambda o: a.multiput_df(o), lambda o: a.multiput_df(o, SUM), lambda o: a.delete_df(o), lambda o: a.full_outer_join(o, plus), lambda o: a.create_using_index(o), lambda o: a.aggregate_using_index(o, SUM),
+    ):
+        assert as_dict(f(lazy)) == as_dict(f(eager))
+    assert as_dict(lazy.inner_join(lazy, lambda k, x, y: x - y)) == {k: 0 for k in range(2, 9)}
+    other = KeyedFrame.from_df(spark.createDataFrame([(1, 1)], "q long, v int"), "q", n=3)
+    with pytest.raises(ValueError, match="key columns differ"):
+        a.full_outer_join(other, plus, lazy=True)
+
+
+def test_python_folds_keep_values(spark):
+    """NaN is a value, and whole numbers stay exact."""
+    nan = float("nan")
+    t = KeyedFrame.from_df(spark.createDataFrame([(1, nan), (2, None)], "k long, v double"), "k", n=2)
+    spec, plain = PandasFold(lambda k, u: u, lambda k, a, u: a + u), fold(None, lambda k, a, u: a + u)
+    for how in (spec, plain):
+        got = as_dict(t.multiput({1: 5.0, 2: 5.0}, how))
+        assert got[1] != got[1] and got[2] == 5.0
+    big = KeyedFrame.from_df(spark.createDataFrame([(1, 2**60 + 1)], "k long, v long"), "k", n=2)
+    assert as_dict(big.multiput({1: 1, 2: 2}, spec)) == {1: 2**60 + 2, 2: 2}
+    assert as_dict(big.multiput({1: None}, PandasFold(lambda k, u: u, lambda k, a, u: a if u is None else u))) == {1: 2**60 + 1}
