@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.merge import SUM, Fold, PandasFold, fold
-from ..operators.frame import KeyedFrame
+from ..operators.frame import KeyedFrame, shared_folder
 from ..operators.layered import Reducer
+from ..sources.storage import Store, load_bucketed, save_bucketed
 
 N = 8  # partitions of the tables below; a deployment sets it from its data
 
@@ -32,14 +34,25 @@ def _read(spark: SparkSession, d: str, table: str, k: str, v: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet").select(F.col(k).alias("k"), F.col(v).alias("v"))
 
 
-def _orders(spark: SparkSession, d: str) -> KeyedFrame:
-    return KeyedFrame.from_df(_read(spark, d, "orders", "o_orderkey", "o_totalprice"), "k", n=N)
+def _orders(spark: SparkSession, d: str, where: str = "true") -> KeyedFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").where(where)
+    return KeyedFrame.from_df(rows.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), "k", n=N)
+
+
+def _quantities(spark: SparkSession, d: str) -> KeyedFrame:
+    """By order; some orders have no lines."""
+    return KeyedFrame.from_df(_read(spark, d, "lineitem", "l_orderkey", "l_quantity"), "k", n=N, merge=SUM)
 
 
 def _customers(spark: SparkSession, d: str) -> KeyedFrame:
     return KeyedFrame.from_df(_read(spark, d, "customer", "c_custkey", "c_acctbal"), "k", n=N)
 
 
+def _builders(spark: SparkSession, d: str) -> KeyedFrame:
+    rows = spark.read.parquet(f"{d}/customer.parquet").where("c_mktsegment = 'BUILDING'")
+    return KeyedFrame.from_df(rows.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), "k", n=N)
+
+
 def _finished(spark: SparkSession, d: str) -> DataFrame:
     """Finished orders by customer: repeats keys; the order key gives the order."""
     rows = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'F'")
@@ -52,6 +65,9 @@ def _zero(x: Column) -> Column:
 
 _O = "(SELECT o_orderkey AS k, o_totalprice AS v FROM orders)"
 _C = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer)"
+_B = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_mktsegment = 'BUILDING')"
+_OPEN = "(SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'O')"
+_QUANTITY = "(SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY l_orderkey)"
 _LAST = "(SELECT k, u FROM (SELECT o_custkey AS k, o_totalprice AS u, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus = 'F') t WHERE rn = 1)"
 _TOTAL = "(SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)"
 
@@ -141,19 +157,17 @@ def multiput_rdd_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return _customers(spark, d).multiput_df(_finished(spark, d).withColumnRenamed("u", "v"), order_by="ord").to_df()
 
 
-@_query(f"SELECT coalesce(b.k, u.k) AS k, round(CASE WHEN b.k IS NULL THEN u.s WHEN u.k IS NULL THEN b.v ELSE b.v + u.s END, 2) AS v FROM (SELECT k, v FROM {_C} WHERE k % 2 = 0) b FULL JOIN {_TOTAL} u ON b.k = u.k")
+@_query(f"SELECT coalesce(b.k, u.k) AS k, round(CASE WHEN b.k IS NULL THEN u.s WHEN u.k IS NULL THEN b.v ELSE b.v + u.s END, 2) AS v FROM {_B} b FULL JOIN {_TOTAL} u ON b.k = u.k")
 def multiput_rdd_dups(spark: SparkSession, d: str) -> DataFrame:
-    even = _customers(spark, d).filter(lambda k, v: k % 2 == 0)
-    return even.multiput_df(_finished(spark, d).select("k", "u"), merge=SUM).map_values(lambda v: F.round(v, 2)).to_df()
+    return _builders(spark, d).multiput_df(_finished(spark, d).select("k", "u"), merge=SUM).map_values(lambda v: F.round(v, 2)).to_df()
 
 
-@_query(f"SELECT coalesce(b.k, u.k) AS k, round(CASE WHEN b.k IS NULL THEN u.s WHEN u.k IS NULL THEN b.v ELSE b.v + u.s END, 2) AS v FROM (SELECT k, v FROM {_C} WHERE k % 2 = 0) b FULL JOIN {_TOTAL} u ON b.k = u.k")
+@_query(f"SELECT coalesce(b.k, u.k) AS k, round(CASE WHEN b.k IS NULL THEN u.s WHEN u.k IS NULL THEN b.v ELSE b.v + u.s END, 2) AS v FROM {_B} b FULL JOIN {_TOTAL} u ON b.k = u.k")
 def multiput_rdd_fold(spark: SparkSession, d: str) -> DataFrame:
     """The same with an opaque fold over each key's rows in order."""
-    even = _customers(spark, d).filter(lambda k, v: k % 2 == 0)
     spec = Fold(lambda k, u: u["u"], lambda k, a, u: a + u["u"])
     updates = _finished(spark, d).select("k", F.struct("ord", "u").alias("u"))
-    return even.multiput_df(updates, merge=spec, order_by=F.col("u.ord")).map_values(lambda v: F.round(v, 2)).to_df()
+    return _builders(spark, d).multiput_df(updates, merge=spec, order_by=F.col("u.ord")).map_values(lambda v: F.round(v, 2)).to_df()
 
 
 @_query(f"SELECT k, v FROM {_O} WHERE NOT (k IN (-1, 0, 998, 999))")
@@ -181,10 +195,19 @@ def map_values_with_key(spark: SparkSession, d: str) -> DataFrame:
     return _orders(spark, d).map_values(lambda k, v: v + k, with_key=True).to_df()
 
 
-@_query(f"SELECT a.k, a.v FROM {_O} a JOIN (SELECT k, CASE WHEN k % 2 = 0 THEN -v ELSE v END AS v FROM {_O} x WHERE k < 9000) o ON a.k = o.k WHERE a.v <> o.v")
+_CHANGED = "(SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN -o_totalprice ELSE o_totalprice END AS v FROM orders WHERE o_orderstatus <> 'F')"
+
+
+def _changed(spark: SparkSession, d: str) -> KeyedFrame:
+    """Unfinished orders; the values of urgent ones differ."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus <> 'F'")
+    value = F.when(F.col("o_orderpriority") == "1-URGENT", -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    return KeyedFrame.from_df(rows.select(F.col("o_orderkey").alias("k"), value.alias("v")), "k", n=N)
+
+
+@_query(f"SELECT a.k, a.v FROM {_O} a JOIN {_CHANGED} o ON a.k = o.k WHERE a.v <> o.v")
 def diff(spark: SparkSession, d: str) -> DataFrame:
-    a = _orders(spark, d)
-    return a.diff(a.filter(lambda k, v: k < 9000).map_values(lambda k, v: F.when(k % 2 == 0, -v).otherwise(v), with_key=True)).to_df()
+    return _orders(spark, d).diff(_changed(spark, d)).to_df()
 
 
 @_query(f"SELECT a.k, a.v FROM {_C} a JOIN {_LAST} o ON a.k = o.k WHERE a.v <> o.u")
@@ -193,24 +216,23 @@ def diff_pairs_dups(spark: SparkSession, d: str) -> DataFrame:
     return _customers(spark, d).diff(last).to_df()
 
 
-@_query(f"SELECT coalesce(a.k, d.k) AS k, coalesce(a.v, 0) + coalesce(d.v, 0) AS v FROM (SELECT k, v FROM {_O} WHERE k < 10000) a FULL JOIN (SELECT k, v FROM {_O} WHERE k >= 5000) d ON a.k = d.k")
+@_query(f"SELECT coalesce(a.k, d.k) AS k, coalesce(a.v, 0) + coalesce(d.v, 0) AS v FROM {_OPEN} a FULL JOIN {_QUANTITY} d ON a.k = d.k")
 def full_outer_join(spark: SparkSession, d: str) -> DataFrame:
-    a = _orders(spark, d)
-    return a.filter(lambda k, v: k < 10000).full_outer_join(a.filter(lambda k, v: k >= 5000), lambda k, x, y: _zero(x) + _zero(y)).to_df()
+    return _orders(spark, d, "o_orderstatus = 'O'").full_outer_join(_quantities(spark, d), lambda k, x, y: _zero(x) + _zero(y)).to_df()
 
 
 @_query(_SQL["full_outer_join"])
 def full_outer_join_lazy(spark: SparkSession, d: str) -> DataFrame:
-    a = _orders(spark, d)
-    return a.filter(lambda k, v: k < 10000).full_outer_join(a.filter(lambda k, v: k >= 5000), lambda k, x, y: _zero(x) + _zero(y), lazy=True).to_df()
+    return _orders(spark, d, "o_orderstatus = 'O'").full_outer_join(_quantities(spark, d), lambda k, x, y: _zero(x) + _zero(y), lazy=True).to_df()
 
 
-_STACK = f"(SELECT k, sum(v) AS v FROM (SELECT k, v FROM {_O} WHERE k < 10000 UNION ALL SELECT k, v * 2 AS v FROM {_O} WHERE k >= 5000 UNION ALL SELECT k, v * 4 AS v FROM {_O} WHERE k % 3 = 0) s GROUP BY k)"
+_STACK = f"(SELECT k, sum(v) AS v FROM (SELECT k, v FROM {_OPEN} a UNION ALL SELECT k, v * 2 AS v FROM {_QUANTITY} b UNION ALL SELECT o_orderkey AS k, o_totalprice * 4 AS v FROM orders WHERE o_orderpriority = '1-URGENT') s GROUP BY k)"
 
 
 def _stack(spark: SparkSession, d: str):
-    a, plus = _orders(spark, d), Reducer(lambda k, x, y: _zero(x) + _zero(y), associative=True)
-    return a.filter(lambda k, v: k < 10000).full_outer_join(a.filter(lambda k, v: k >= 5000).map_values(lambda v: v * 2), plus, lazy=True).full_outer_join(a.filter(lambda k, v: k % 3 == 0).map_values(lambda v: v * 4), plus, lazy=True)
+    plus = Reducer(lambda k, x, y: _zero(x) + _zero(y), associative=True)
+    first = _orders(spark, d, "o_orderstatus = 'O'").full_outer_join(_quantities(spark, d).map_values(lambda v: v * 2), plus, lazy=True)
+    return first.full_outer_join(_orders(spark, d, "o_orderpriority = '1-URGENT'").map_values(lambda v: v * 4), plus, lazy=True)
 
 
 @_query(f"SELECT k, round(v, 2) AS v FROM {_STACK}")
@@ -248,6 +270,44 @@ def update_join_dups(spark: SparkSession, d: str) -> DataFrame:
     return _customers(spark, d).update_join(_finished(spark, d).select("k", "u"), lambda k, v, u: v + u).map_values(lambda v: F.round(v, 2)).to_df()
 
 
+@_query(_SQL["update_join_dups"])
+def update_join_named(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a named merge, which combines before the shuffle."""
+    return _customers(spark, d).update_join(_finished(spark, d).select("k", "u"), SUM).map_values(lambda v: F.round(v, 2)).to_df()
+
+
+@_query(f"SELECT b.k, round(b.v - u.v, 2) AS v FROM {_O} b JOIN {_STACK} u ON b.k = u.k")
+def lazy_inner_join(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).inner_join(_stack(spark, d), lambda k, v, u: F.round(v - u, 2), name="v").to_df()
+
+
+@_query(f"SELECT b.k, round(b.v - coalesce(u.v, 0), 2) AS v FROM {_O} b LEFT JOIN {_STACK} u ON b.k = u.k")
+def lazy_left_join(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).left_join(_stack(spark, d), lambda k, v, u: F.round(v - _zero(u), 2), name="v").to_df()
+
+
+@_query(f"SELECT b.k, round(b.v + coalesce(u.v, 0), 2) AS v FROM {_O} b LEFT JOIN {_STACK} u ON b.k = u.k")
+def lazy_update_join(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).update_join(_stack(spark, d), lambda k, v, u: v + u).map_values(lambda v: F.round(v, 2)).to_df()
+
+
+@_query(f"SELECT b.k, b.v FROM {_O} b JOIN {_STACK} u ON b.k = u.k WHERE abs(b.v - u.v) > 0.005")
+def lazy_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Rounded, as sums in another order differ in the last places."""
+    cents = lambda t: t.map_values(lambda v: F.round(v, 2))
+    return cents(_orders(spark, d)).diff(cents(_stack(spark, d))).to_df()
+
+
+@_query(f"SELECT coalesce(b.k, u.k) AS k, round(coalesce(b.v, 0) + coalesce(u.v, 0), 2) AS v FROM {_OPEN} b FULL JOIN {_STACK} u ON b.k = u.k")
+def lazy_multiput(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d, "o_orderstatus = 'O'").multiput_df(_stack(spark, d), SUM).map_values(lambda v: F.round(v, 2)).to_df()
+
+
+@_query(f"SELECT k, v FROM {_O} WHERE k NOT IN (SELECT k FROM {_STACK} s)")
+def lazy_delete(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).delete_df(_stack(spark, d)).to_df()
+
+
 @_query(f"SELECT c.k, round(c.v - coalesce(u.u, 0), 2) AS v FROM {_C} c LEFT JOIN {_LAST} u ON c.k = u.k")
 def left_join(spark: SparkSession, d: str) -> DataFrame:
     other = _finished(spark, d).select("k", F.struct("ord", "u").alias("u"))
@@ -299,6 +359,75 @@ def version_isolation(spark: SparkSession, d: str) -> DataFrame:
     return tag(first, "v1").union(tag(second, "v2"))
 
 
+@_query(f"SELECT t.k, EXISTS (SELECT 1 FROM {_O} b WHERE b.k = t.k) AS here FROM (VALUES (CAST(-1 AS BIGINT)), (CAST(0 AS BIGINT)), (CAST(98 AS BIGINT))) AS t(k)")
+def contains(spark: SparkSession, d: str) -> DataFrame:
+    orders = _orders(spark, d)
+    return spark.createDataFrame([(k, orders.contains(k)) for k in (-1, 0, 98)], "k long, here boolean")
+
+
+@_query(f"SELECT k, v FROM {_O} WHERE v > 100000")
+def persisted(spark: SparkSession, d: str) -> DataFrame:
+    """Kept in memory, with a name that SQL knows."""
+    _orders(spark, d).persist().set_name("keyloom_orders")
+    return spark.sql("SELECT k, v FROM keyloom_orders WHERE v > 100000")
+
+
+@_query(f"SELECT k, CASE WHEN k IN (0, 1, 2) THEN CAST(-1.0 AS DOUBLE) ELSE v END AS v FROM {_O}")
+def compacted(spark: SparkSession, d: str) -> DataFrame:
+    """A stack of writes, its plan cut."""
+    table = _orders(spark, d)
+    for k in range(3):
+        table = table.put(k, -1.0)
+    return table.compact().to_df()
+
+
+@_query("SELECT CAST(8 AS INTEGER) AS n, count(DISTINCT o_orderkey) AS keys, CAST(0 AS BIGINT) AS elsewhere FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def layout(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of one layout hold a key in the same partition."""
+    a, b = _orders(spark, d), _quantities(spark, d)
+    placed = lambda t, name: t.to_df().select("k", F.spark_partition_id().alias(name))
+    both = placed(a, "p").join(placed(b, "q"), "k")
+    return both.agg(F.lit(a.num_partitions).alias("n"), F.count("*").alias("keys"), F.count_if(F.col("p") != F.col("q")).alias("elsewhere"))
+
+
+@_query("SELECT CAST(5 AS INTEGER) AS n, count(*) AS keys FROM orders")
+def layout_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """A layout that the input has is kept."""
+    table = KeyedFrame.from_df(_read(spark, d, "orders", "o_orderkey", "o_totalprice").repartition(5, "k"), "k")
+    return table.to_df().agg(F.lit(table.num_partitions).alias("n"), F.count("*").alias("keys"))
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/keyloom-{uuid.uuid4().hex}"
+
+
+@_query(f"SELECT k, v FROM {_O}")
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Written as a version and read again."""
+    store = Store(spark, _place(spark))
+    store.save(_orders(spark, d), "1")
+    return store.load().to_df()
+
+
+@_query(f"SELECT coalesce(b.k, u.k) AS k, CASE WHEN u.k IS NULL THEN b.v ELSE u.u END AS v FROM {_C} b FULL JOIN {_LAST} u ON b.k = u.k")
+def store_delta(spark: SparkSession, d: str) -> DataFrame:
+    """A version that holds its updates alone, merged when it is read."""
+    store = Store(spark, _place(spark))
+    store.save(_customers(spark, d), "9")
+    store.save_delta(_finished(spark, d).withColumnRenamed("u", "v"), "10", "9", order_by="ord")
+    return store.load().to_df()
+
+
+@_query(f"SELECT b.k, b.v - u.v AS v FROM {_O} b JOIN {_QUANTITY} u ON b.k = u.k")
+def bucketed_join(spark: SparkSession, d: str) -> DataFrame:
+    """Tables in equal buckets, joined without a shuffle."""
+    tables = []
+    for name, table in (("orders", _orders(spark, d)), ("quantities", _quantities(spark, d))):
+        save_bucketed(table, f"keyloom_{name}", _place(spark))
+        tables.append(load_bucketed(spark, f"keyloom_{name}", "k", N))
+    return tables[0].inner_join(tables[1], lambda k, v, u: v - u, name="v").to_df()
+
+
 def _codec(name: str, codec: K.KeyCodec, logical: Callable[[Column], Column], sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = spark.read.parquet(f"{d}/orders.parquet").select(codec.encode(logical(F.col("o_orderkey"))).alias("k"), F.col("o_totalprice").alias("v"))
@@ -316,6 +445,13 @@ _codec("key_uuid", K.Uuid(), lambda k: F.concat(F.lit("0A0B0C0D-0000-4000-8000-"
 _codec("key_text", K.Text(), lambda k: F.concat(F.lit("é"), k.cast("string")), "SELECT 'é' || o_orderkey AS k, o_totalprice AS v FROM orders")
 
 
+@_query("SELECT chr(65 + n_nationkey) AS k, n_regionkey AS v FROM nation")
+def key_char(spark: SparkSession, d: str) -> DataFrame:
+    codec = K.Character()
+    rows = spark.read.parquet(f"{d}/nation.parquet").select(codec.encode(F.char(65 + F.col("n_nationkey"))).alias("k"), F.col("n_regionkey").alias("v"))
+    return KeyedFrame.from_df(rows, "k", n=N).to_df().select(codec.decode(F.col("k")).alias("k"), "v")
+
+
 @_query("SELECT l_orderkey AS k1, CAST(l_linenumber AS VARCHAR) AS k2, sum(l_quantity) AS v FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def key_pair(spark: SparkSession, d: str) -> DataFrame:
     codec = K.Pair(K.WholeNumber(), K.Text())
