@@ -1,20 +1,23 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Hierarchical residual packing.  Every task packs its own pieces best-fit (longest first, into
-the fullest bin that has room) and marks the nearly full bins as done.  The underfull bins go on
-as items, each with the pieces that it holds, to a tree of merging tasks, FAN_IN to one, that pack them
-best-fit in the same way, until one task is left.  A task's pieces come in falling order of length, and until its
-input is at an end it closes nearly full bins only, so it packs as if it had all pieces at once.
-Then it passes on at most CARRY underfull bins of each fill level: among more of one level, the rest
-are closed as they are, so what reaches the top stays bounded whatever the number of documents.  Bins more
-than half full cannot join one another, and a task leaves at most one other bin, so these would hardly be filled.
+Hierarchical residual packing.  Pieces are dealt evenly at random, so every task has the same mixture of lengths, also where the input
+is sorted.  A task packs its pieces best-fit, longest first (in the fullest bin that has room).  Nearly full bins are done;
+underfull ones go on as items, each with the pieces that it holds, to a tree of merging tasks, FAN_IN to one, that pack
+them best-fit in the same way, until one task is left or no two of them fit together.
+
+What goes on is bounded without loss.  Two bins can only be joined if one of them is at most half full (small), and
+best fit leaves a task one such bin at most.  So after a round of T tasks at most T joins can still be made, each by a small
+bin, and of the bins of one fill, which are interchangeable, no more than there are small bins anywhere can be of use, and none
+that has less room than the emptiest bin of all needs.  All others are done as they are.  A task takes in FAN_IN tasks' bins at most,
+or as many as CHUNK if that is more tasks; its memory is a few numbers for each bin and piece.
 
 Each round is written to the checkpoint folder before its bins are used: whether a bin is done
 or goes on is decided once, also when executors are lost.
 
 Defined results: a null or empty text is one piece, the end token alone.  A document of more
-than `capacity` tokens is cut; its first piece is the shorter one.  Repeated rows are packed
-like any others.  Sequence ids are unique and otherwise arbitrary.
+than `capacity` tokens is cut; its first piece is the shorter one.  Very long texts are tokenised whole, in memory one at a
+time.  Repeated rows and equal lengths are packed like any others; an empty table gives no sequences.  Sequence ids are unique and otherwise
+arbitrary.  Other columns of items go along; columns named sequence_id or offset are replaced.
 """
 
 from __future__ import annotations
@@ -22,18 +25,20 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import cut, kinds, read
 from .words import lean
 
 CAPACITY, END = 1024, 2
-#: Free tokens of a nearly full bin; tasks that one merges; items that a task packs at once, at least; underfull bins of a fill level that it passes on.
-SLACK, FAN_IN, CHUNK, CARRY = 2, 8, 50_000, 64
+#: Free tokens of a nearly full bin; tasks that one merges; bins for which a merging task is added.
+SLACK, FAN_IN, CHUNK = 2, 8, 400_000
 
 _LONG_RUN = re.compile(r"\S{400}|\s{400}|<\|")
 
@@ -109,106 +114,83 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Bins:
-    """Bins as a list array of pieces, with the fill of each."""
+    """Bins as a list array of pieces, with the fill of each and the length of each piece."""
 
-    def __init__(self, parts: pa.StructArray, at: np.ndarray, used: np.ndarray):
-        self.parts, self.at, self.used = parts, at, used
+    def __init__(self, parts: pa.StructArray, at: np.ndarray, used: np.ndarray, size: np.ndarray):
+        self.parts, self.at, self.used, self.size = parts, at, used, size
 
-    def take(self, index: np.ndarray, groups: np.ndarray, used: np.ndarray) -> _Bins:
-        """New bins: the pieces of bins index[groups[k]:groups[k + 1]] together."""
-        size = np.diff(self.at)[index]
-        to = np.concatenate([[0], np.cumsum(size)])
-        rows = np.repeat(self.at[:-1][index] - to[:-1], size) + np.arange(to[-1])
-        return _Bins(self.parts.take(pa.array(rows)), to[groups], used)
+    def together(self, order: np.ndarray, groups: np.ndarray, used: np.ndarray) -> _Bins:
+        """New bins: the pieces of bins order[groups[k]:groups[k + 1]] together."""
+        many = np.diff(self.at)[order]
+        to = np.concatenate([[0], np.cumsum(many)])
+        rows = np.repeat(self.at[:-1][order] - to[:-1], many) + np.arange(to[-1])
+        return _Bins(self.parts.take(pa.array(rows)), to[groups], used, self.size[rows])
 
-    def pick(self, index: np.ndarray) -> _Bins:
-        return self.take(index, np.arange(len(index) + 1), self.used[index])
+    def offsets(self) -> np.ndarray:
+        """The place of each piece in its bin."""
+        before = np.cumsum(self.size) - self.size
+        return before - np.repeat(before[self.at[:-1]], np.diff(self.at)) if len(before) else before
 
 
 def _join(bins: list[_Bins]) -> _Bins:
     parts = pa.chunked_array([b.parts for b in bins]).combine_chunks()
     at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b.at) for b in bins]))])
-    return _Bins(parts, at, np.concatenate([b.used for b in bins]))
-
+    return _Bins(parts, at, *(np.concatenate(c) for c in zip(*((b.used, b.size) for b in bins), strict=True)))
 
-def _round(capacity: int, number: int, last: bool, slack: int, chunk: int, carry: int):
-    """One task of a round: bins in, bins out."""
 
-    def pack(bins: _Bins) -> _Bins:
-        where, used = best_fit(bins.used, capacity)
-        order = np.argsort(where, kind="stable")
-        return bins.take(order, np.searchsorted(where[order], np.arange(len(used) + 1)), used)
+def _round(capacity: int, number: int, length: str, slack: int):
+    """One task of a round: bins in, bins out; level counts a task's bins of one fill from 0."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        given = 0
-
-        def rows(bins: _Bins, done: bool) -> pa.RecordBatch:
-            nonlocal given
-            n = len(bins.used)
-            ids = (number << 58) + (task << 32) + given + np.arange(n)
-            given += n
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bins.used), pa.array(np.full(n, done)), pa.ListArray.from_arrays(pa.array(bins.at, pa.int32()), bins.parts)], names=["bin", "used", "done", "parts"])
-
-        waiting: list[_Bins] = []
-        held = 0  # underfull bins after the last packing
-
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal waiting, held
-            if not waiting:
-                return
-            packed = pack(_join(waiting))
-            waiting = []
-            level = np.argsort(packed.used, kind="stable")
-            rank = np.arange(len(level)) - np.searchsorted(packed.used[level], packed.used[level])
-            over = np.empty(len(level), bool)
-            over[level] = rank >= carry
-            done = (packed.used >= capacity - slack) | (final & (over | last))
-            if done.any():
-                yield rows(packed.pick(np.flatnonzero(done)), True)
-            if not done.all():
-                rest = packed.pick(np.flatnonzero(~done))
-                if final:
-                    yield rows(rest, False)
-                else:
-                    waiting.append(rest)
-            held = int((~done).sum())
-
+        task, given = TaskContext.get().partitionId(), []
         for batch in it:
             parts = batch.column("parts")
             at = np.asarray(parts.offsets).astype(np.int64)
-            waiting.append(_Bins(parts.values.slice(at[0], at[-1] - at[0]), at - at[0], np.asarray(batch.column("used")).astype(np.int64)))
-            if sum(len(b.used) for b in waiting) >= max(chunk, 2 * held):  # each packing at most half of held bins
-                yield from flush(False)
-        yield from flush(True)
+            inside = parts.values.slice(at[0], at[-1] - at[0])
+            given.append(_Bins(inside, at - at[0], np.asarray(batch.column("used")).astype(np.int64), np.asarray(inside.field(length)).astype(np.int64)))
+        if not given:
+            return
+        bins = _join(given)
+        del given
+        where, used = best_fit(bins.used, capacity)
+        order = np.argsort(where, kind="stable")
+        bins = bins.together(order, np.searchsorted(where[order], np.arange(len(used) + 1)), used)
+        by = np.argsort(used, kind="stable")
+        level = np.empty(len(used), np.int64)
+        level[by] = np.arange(len(by)) - np.searchsorted(used[by], used[by])
+        ids = (number << 58) + (task << 32) + np.arange(len(used))
+        at, offset = pa.array(bins.at, pa.int32()), pa.array(bins.offsets())
+        columns = {"bin": pa.array(ids), "used": pa.array(used), "level": pa.array(level), "done": pa.array(used >= capacity - slack), "parts": pa.ListArray.from_arrays(at, bins.parts), "places": pa.ListArray.from_arrays(at, offset)}
+        table = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        for lo in range(0, len(used), 10_000):
+            yield table.slice(lo, 10_000)
 
     return batches
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", slack: int = SLACK, fan_in: int = FAN_IN, chunk: int = CHUNK, carry: int = CARRY) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", slack: int = SLACK, fan_in: int = FAN_IN, chunk: int = CHUNK) -> DataFrame:
     """The rows of items (lengths from 1 to capacity) plus sequence_id and offset, the place of
     the row in its sequence.  Columns of these names are replaced."""
-    from pyspark.sql import functions as F
-
     own = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    bins = items.select(F.col(f"`{length}`").cast("long").alias("used"), F.array(F.struct(*(F.col(f"`{c}`") for c in own))).alias("parts"))
-    schema = f"bin long, used long, done boolean, parts {bins.schema['parts'].dataType.simpleString()}"
-    finished: DataFrame | None = None
-    tasks, number = bins.rdd.getNumPartitions(), 0
-    bins = bins.sortWithinPartitions(F.desc("used"))
+    tasks, number = max(1, items.rdd.getNumPartitions()), 0
+    bins = items.select(F.col(f"`{length}`").cast("long").alias("used"), F.array(F.struct(*(F.col(f"`{c}`") for c in own))).alias("parts")).repartition(tasks)
+    schema = f"bin long, used long, level long, done boolean, parts {bins.schema['parts'].dataType.simpleString()}, places array<long>"
+    finished: list[DataFrame] = []
+    before = (tasks + 1, 0)
     while True:
-        bins = cut(bins.mapInArrow(_round(capacity, number, number > 0 and tasks == 1, slack, chunk, carry), schema))
-        finished = bins.where("done") if finished is None else finished.union(bins.where("done"))
-        if number > 0 and tasks == 1:
+        bins = cut(bins.mapInArrow(_round(capacity, number, length, slack), schema))
+        least, small = bins.where("not done").agg(F.min("used"), F.count_if(F.col("used") * 2 <= capacity)).first()
+        may = ~F.col("done") & (F.col("used") + F.lit(least) <= capacity) & (F.col("level") < small)
+        stuck = tasks == 1 or (tasks >= before[0] and small >= before[1])
+        count = bins.where(may).count() if small and not stuck else 0
+        if count < 2:
+            finished.append(bins)
             break
-        tasks, number = max(1, -(-tasks // fan_in)), number + 1
-        bins = bins.where("not done").select("bin", "used", "parts").repartition(tasks, "bin").sortWithinPartitions(F.desc("used"), "bin").select("used", "parts")
-    size = F.transform("parts", lambda p: p[length].cast("long"))
-    placed = finished.select(
-        F.col("bin").alias("sequence_id"),
-        F.explode(F.arrays_zip(F.col("parts").alias("p"), F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice(size, F.lit(1), i - 1), F.lit(0).cast("long"), lambda a, b: a + b)).alias("o"))).alias("x"),
-    )
-    return placed.select(*(F.col("x.p")[c].alias(c) for c in own), "sequence_id", F.col("x.o").alias("offset"))
+        finished.append(bins.where(~may))
+        before, tasks, number = (tasks, small), max(-(-tasks // fan_in), -(-count // chunk)), number + 1
+        bins = bins.where(may).select("used", "parts").repartition(tasks)
+    packed = reduce(DataFrame.union, finished).select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip(F.col("parts").alias("p"), F.col("places").alias("o"))).alias("x"))
+    return packed.select(*(F.col("x.p")[c].alias(c) for c in own), "sequence_id", F.col("x.o").alias("offset"))
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None, ranks: str | None = None) -> DataFrame:

@@ -168,8 +168,9 @@ def test_packing_rounds(spark):
     lengths = sorted((x.length for x in rows), reverse=True)
     _, fill = packing.best_fit(np.array(lengths), 1024)
     assert check_packed(rows, 1024) <= 1.03 * len(fill)
-    alike = packing.pack(spark.createDataFrame([(i, 600) for i in range(500)], "id long, length long"), carry=4).collect()
+    alike = packing.pack(spark.createDataFrame([(i, 600) for i in range(500)], "id long, length long")).collect()
     assert check_packed(alike, 1024) == 500
+    assert packing.pack(items.limit(0)).count() == 0 and packing.pack(items.limit(1)).first().sequence_id is not None
 
 
 @pytest.mark.parametrize("lengths", [[600] * 2000 + [400] * 2000, [400] * 2000 + [600] * 2000])
@@ -183,6 +184,26 @@ def test_packing_waits_for_the_whole_task(spark, lengths):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_packing_of_sorted_input(spark):
+    """Long pieces in some partitions, what would fill their bins in others; many pieces, as few sequences as there can be."""
+    lengths = [600] * 30_000 + [420] * 30_000
+    for partitions in (1, 8):
+        items = spark.range(0, len(lengths), 1, partitions).select("id", F.when(F.col("id") < 30_000, 600).otherwise(420).cast("long").alias("length"))
+        count = check_packed(packing.pack(items).collect(), 1024)
+        assert 30_000 <= count <= 30_000 * (1 if partitions == 1 else 1.002)
+
+
+def test_packing_bins_that_go_on(spark, monkeypatch):
+    """Only bins that may be joined go on to the next round, and none that could be is closed."""
+    kept = []
+    real = packing.cut
+    monkeypatch.setattr(packing, "cut", lambda df: kept.append(real(df)) or kept[-1])
+    lengths = [700] * 400 + [1000] * 80 + [300] * 4
+    items = spark.createDataFrame(list(enumerate(lengths)), "id long, length long").repartition(4)
+    assert check_packed(packing.pack(items, slack=0, fan_in=2).collect(), 1024) == 480
+    assert all(f.count() <= 30 for f in kept[1:])  # a few 700s for each 300 that had none in its task
+
+
 # ---- quality rules ----
 
 
