@@ -22,13 +22,13 @@ arbitrary.  Other columns of items go along; columns named sequence_id or offset
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ CAPACITY, END = 1024, 2
 #: Free tokens of a nearly full bin; tasks that one merges; bins for which a merging task is added.
 SLACK, FAN_IN, CHUNK = 2, 8, 400_000
 
-_LONG_RUN = re.compile(r"\S{400}|\s{400}|<\|")
+_HARD = r"\S{400}|\s{400}|<\|"
 
 
 class ByteBpe:
@@ -66,9 +66,17 @@ class ByteBpe:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or _LONG_RUN.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        return next(self.all(pa.array([text])))
+
+    def all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; null as empty."""
+        hard = pc.match_substring_regex(texts, _HARD).fill_null(False).to_pylist()
+        for text, by_library in zip(texts, hard, strict=True):
+            text = text.as_py() or ""
+            if self.fast is None or by_library:
+                yield np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+            else:
+                yield np.array(self.fast.encode_ordinary(text), "<u4")
 
 
 def pieces(docs: DataFrame, path: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -78,8 +86,8 @@ def pieces(docs: DataFrame, path: str, ranks: str | None = None, doc_id: str = "
         coder = ByteBpe(path, ranks)
         for batch in it:
             row, out = [], []
-            for i, x in enumerate(batch.column(1)):
-                ids = np.append(coder.ids(x.as_py() or ""), np.uint32(end)).astype("<u4")
+            for i, ids in enumerate(coder.all(batch.column(1))):
+                ids = np.append(ids, np.uint32(end)).astype("<u4")
                 at = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k in range(len(at) - 1):
                     row.append(i)

@@ -281,6 +281,38 @@ def test_topk_blocks(spark):
     assert 900 not in got and topk.search(table.limit(0), table, 10).count() == 0
 
 
+def test_topk_beyond_64_bits(spark):
+    """Scores out of range are the largest and smallest longs, and tie."""
+    rows = [(0, [3 * 10**18, 3 * 10**18]), (1, [3 * 10**18, 3 * 10**18]), (2, [5 * 10**18, 1]), (3, [-(3 * 10**18), -1]), (4, [1, 0]), (4, [0, 0])]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, vector array<long>, score string, rank int")
+    got = sorted((x.rank, x.vec_id, x.score) for x in topk.search(table.where("vec_id = 0"), table, 10).collect())
+    assert got == [(1, 1, 2**63 - 1), (2, 2, 2**63 - 1), (3, 4, 3 * 10**18), (4, 4, 0), (5, 3, -(2**63) + 1)]
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://a.org/" + "x" * 100_000 + "?q"
+    rows = spark.createDataFrame([(1, long, "h", 1), (1, long, "h", 1), (1, "http://b.com/de/" + "y" * 70_000, "g", 2)], "page_id long, url string, host string, verdict int")
+    got = [(r.page_id, len(r.path), r.rule, r.verdict) for r in url_filter.judge(rows, "url", url_filter.RULES, keep=["page_id"]).collect()]
+    assert sorted(got) == [(1, 70_004, "com/de/", "block")] + [(1, 100_001, "org/", "allow")] * 2
+
+
+def test_long_unsplit_texts():
+    """Leaves in parallel, then joins, against the library."""
+    path = P.path("word_bpe_49k.json")
+    coder, library = bpe.TreeBpe(path, leaf=500, window=8), Tokenizer.from_file(path)
+    r = random.Random(8)
+    for n, letters in ((5000, "abcdefgh"), (4001, "thein"), (3000, "aé!1")):
+        text = "".join(r.choice(letters) for _ in range(n)) + " end"
+        packed, decoded = coder.encode(text)
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packed, "<u4").tolist() == ids and decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_rules_columns(docs):
+    """The contract's columns come first."""
+    assert quality_rules.assess(docs).columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat"]
+
+
 def test_threshold_stops_early():
     r = np.random.default_rng(0)
     vectors = r.exponential(1, (5000, 3))
