@@ -14,7 +14,10 @@ code point goes through the library as it is, so that no Unicode table but the l
 
 Defined results: a null or empty text has no tokens and decodes to an empty text.  Strings of
 special tokens in a text become those tokens, as in the library.  Repeated rows are encoded
-alike.  Memory follows the longest text.
+alike; an empty table gives an empty one; other columns may have any names.  Memory follows the longest text.
+
+Halves of unsplit text are encoded by the library's threads at once; texts with white space, whose leaves are words that a task
+remembers, one after the other, as many tasks run beside each other.
 """
 
 from __future__ import annotations
@@ -123,13 +126,29 @@ class TreeBpe:
         ids = np.frombuffer(self._library(text)[0], "<u4")
         return ids, np.concatenate([[0], np.cumsum(self.sizes[ids])])
 
+    def _leaves(self, text: str, cut: int | None) -> list[str]:
+        """The stretches that halving leaves, in order; cut: where the text is halved, else its middle."""
+        if cut is None and len(text) <= self.leaf_size:
+            return [text]
+        cut = cut or self._middle(text)
+        return self._leaves(text[:cut], None) + self._leaves(text[cut:], None)
+
+    def _middle(self, text: str) -> int:
+        return self._space(text, len(text) // 2) or len(text) // 2
+
     def _unsplit(self, text: str, cut: int) -> tuple[np.ndarray, np.ndarray]:
-        """Encodes text without white space near its middle; as _spans."""
-        halves = []
-        for part in (text[:cut], text[cut:]):
-            middle = len(part) // 2
-            halves.append(self._spans(part) if len(part) <= self.leaf_size else self._unsplit(part, self._space(part, middle) or middle))
-        (l_ids, l_at), (r_ids, r_at) = halves
+        """Encodes text without white space near its middle; as _spans.  The library encodes the leaves in parallel threads; then
+        they are joined pair by pair."""
+        leaves = self.tokenizer.encode_batch(self._leaves(text, cut), add_special_tokens=False)
+        ids = (np.array(leaf.ids, "<u4") for leaf in leaves)
+        return self._joined(text, cut, ((i, np.concatenate([[0], np.cumsum(self.sizes[i])])) for i in ids))
+
+    def _joined(self, text: str, cut: int | None, leaves: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and places of text, whose encoded leaves come next."""
+        if cut is None and len(text) <= self.leaf_size:
+            return next(leaves)
+        cut = cut or self._middle(text)
+        (l_ids, l_at), (r_ids, r_at) = self._joined(text[:cut], None, leaves), self._joined(text[cut:], None, leaves)
         bytes_in = lambda x: len(re.sub(_SPACE, "", x).encode())
         w = self.window
         while True:
