@@ -13,8 +13,9 @@ which no frequent id or vector can upset, queries by their distinct ids.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part.
 Vectors of another length than the query's are no candidates.  Equal scores go to the smaller
-id.  A query whose vec_id occurs more than once is answered once, for its least vector; all rows of
+id.  Scores beyond 64 bits count as the largest or smallest long of equal size, 2**63 - 1 or its negative, and tie.  A query whose vec_id occurs more than once is answered once, for its least vector; all rows of
 that id are left out of its candidates; other repeated rows are candidates each.  Rows with a null id take no part.
+Empty tables give an empty one; very long vectors are used whole.  Other columns, of any names, are left out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .tables import read
 
 BLOCK, QUERIES, FIRST_DEPTH = 32_768, 2_048, 8
+#: Candidates of a block at least, where there are fewer blocks than cores.
+SMALL = 2_048
 
 
 def threshold(vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, query: np.ndarray, own: int, k: int, depth: int = FIRST_DEPTH) -> tuple[np.ndarray, np.ndarray, int]:
@@ -35,7 +38,7 @@ def threshold(vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, query: np
     lists = np.flatnonzero(query)
     down = query[lists] > 0
     seen = ids == own
-    best, scores = np.zeros(0, np.int64), np.zeros(0, vectors.dtype)
+    best, scores = np.zeros(0, np.int64), np.zeros(0, np.int64 if vectors.dtype == object else vectors.dtype)
     at, step = 0, depth
     if not len(lists):  # every score is 0
         lists, down = np.arange(min(d, 1)), np.ones(min(d, 1), bool)
@@ -45,7 +48,7 @@ def threshold(vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, query: np
         fresh = fresh[~seen[fresh]]
         seen[fresh] = True
         fresh = np.flatnonzero(np.bincount(fresh, minlength=n)) if len(fresh) > n // 8 else np.unique(fresh)
-        got = vectors[fresh] @ query
+        got = _within(vectors[fresh] @ query)
         if len(best) == k:
             better = got >= scores[-1]
             fresh, got = fresh[better], got[better]
@@ -55,11 +58,22 @@ def threshold(vectors: np.ndarray, ids: np.ndarray, order: np.ndarray, query: np
         at, step = to, 2 * step
         if len(best) == k and at < n:
             edge = vectors[np.where(down, order[lists, at - 1], order[lists, n - at]), lists]
-            if scores[-1] > edge @ query[lists]:
+            if scores[-1] > _within(edge @ query[lists]):
                 break
     return best, scores, at
 
 
+#: Largest score.
+MOST = 2**63 - 1
+
+
+def _within(scores):
+    """Exact whole numbers of any size as longs, the largest and smallest ones for those beyond."""
+    if getattr(scores, "dtype", None) == object:
+        return np.array([max(-MOST, min(MOST, x)) for x in scores], np.int64)
+    return max(-MOST, min(MOST, scores)) if isinstance(scores, int) else scores
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     return np.asarray(flat.flatten()).astype(np.int64).reshape(len(flat), -1)
@@ -69,7 +83,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, vec_id: str = "vec
     """query_id, rank (from 1), vec_id, score.  Vectors are arrays of long; both sides have columns vec_id and vector."""
     usable = lambda df: df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id is not null and v is not null and size(v) > 0")
     asked, offered = usable(queries).groupBy("id").agg(F.min("v").alias("v")), usable(candidates)
-    rows, columns = max(1, -(-offered.count() // block)), max(1, -(-asked.count() // most))
+    count, cores = offered.count(), queries.sparkSession.sparkContext.defaultParallelism
+    rows, columns = max(1, -(-count // block), min(cores, count // SMALL)), max(1, -(-asked.count() // most))
     deal = lambda df, by, own, n, other, m: df.withColumn(own, F.pmod(by, F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("d", F.size("v"))
     keys = ["r", "c", "d"]
     asked, offered = deal(asked, F.xxhash64("id"), "c", columns, "r", rows).groupBy(keys), deal(offered, F.monotonically_increasing_id(), "r", rows, "c", columns).groupBy(keys)
@@ -80,8 +95,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, vec_id: str = "vec
         if len(left) and len(right):
             vectors, asked_for = _matrix(right["v"]), _matrix(left["v"])
             ids = np.asarray(right["id"])
-            if float(np.abs(vectors).max()) * float(np.abs(asked_for).max()) * vectors.shape[1] < 2**52:
-                vectors, asked_for = vectors.astype(np.float64), asked_for.astype(np.float64)  # exact, and faster
+            most = np.abs(vectors.astype(float)).max() * np.abs(asked_for.astype(float)).max() * vectors.shape[1]
+            kind = np.float64 if most < 2**52 else np.int64 if most < 2**62 else object  # all exact; the first is the fastest
+            vectors, asked_for = vectors.astype(kind), asked_for.astype(kind)
             order = np.ascontiguousarray(np.argsort(-vectors, axis=0, kind="stable").T)
             for own, query in zip(np.asarray(left["id"]).tolist(), asked_for, strict=True):
                 best, scores, _ = threshold(vectors, ids, order, query, own, k)
