@@ -4,9 +4,12 @@ DataFrame and SQL functions only.  Calls and results are each reduced to one row
 (conv_id, call_id), which is aggregated before the shuffle, and then hash-joined on it, so a frequent
 identifier is one row on either side.  The order is topological: a call's level is the longest chain of
 calls that it comes after.  Chains of calls with one predecessor are followed by pointer doubling, so a chain of n calls takes
-log2(n) rounds; calls with several predecessors take a round for each level of such calls.  Within a conversation
+log2(n) rounds, and calls that have arrived at the chain's begin take no part in later ones; calls with several predecessors take a round
+for each level of such calls, in which only calls that have become known, and edges from them, are handled.  Within a conversation
 (level, seq, call_id) is a topological order.  Arguments are parsed as variants and compared with the
-schema of their tool within the row.
+schema of their tool within the row.  Very long arguments and contents are used whole, within their row.
+
+The table `conversations` of the test data has no calls of its own; `turns` takes its turns as calls and results.
 
 Canonical JSON has its keys in order at every depth and no white space; absent values are left out.
 
@@ -14,11 +17,14 @@ Defined results.  status is linked, no_result, orphan_result (a result without a
 on a cycle or comes after one; level is null) or no_id (conv_id or call_id is null; such rows are kept
 one by one and linked with nothing).  Of calls, or results, that repeat an identifier the first by
 seq and then by content counts; the others are counted in `repeats`.  Errors name arguments that are no
-JSON object, missing, unknown and wrongly typed fields, tools without a schema and predecessors that do not exist.
+JSON object (null or empty ones as well), missing, unknown and wrongly typed fields, tools without a schema and predecessors that do not exist.
+Empty tables give an empty one.  Other columns of the inputs, of any names, are left out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,44 +63,50 @@ def _argument_errors(parsed: Column, fields: Column, schema: Column) -> Column:
 
 
 def _jump(nodes: DataFrame) -> DataFrame:
-    """nodes: conv_id, call_id, up (the only predecessor, else null).  Adds anchor and steps: the first
-    ancestor without exactly one predecessor; anchor is null if a cycle is met instead."""
-    now = cut(nodes.select(*_KEY, F.coalesce("up", "call_id").alias("anchor"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("steps"), F.col("up").isNull().alias("end")))
-    reach, count = 1, now.count()
-    while reach <= count:
-        ahead = now.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"), F.col("end").alias("ahead_end"))
-        now = cut(now.join(ahead, ["conv_id", "anchor"]).select(*_KEY, F.col("next").alias("anchor"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("end") | ahead["ahead_end"]).alias("end")))
+    """nodes: conv_id, call_id, up (the only predecessor, else null), many (whether there are several).  conv_id, call_id,
+    anchor, steps, many: the first ancestor without exactly one predecessor, how far it is, and whether it has several;
+    without the nodes that meet a cycle instead.  Nodes that have arrived take no part in later rounds."""
+    now = cut(nodes.select(*_KEY, F.coalesce("up", "call_id").alias("anchor"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("steps"), F.col("up").isNull().alias("end"), "many"))
+    arrived, reach, count = [now.where("end")], 1, now.count()
+    every = now
+    now = now.where("not end")
+    while reach <= count and not now.isEmpty():
+        ahead = every.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"), F.col("end").alias("there"), F.col("many").alias("several"))
+        now = cut(now.join(ahead, ["conv_id", "anchor"]).select(*_KEY, F.col("next").alias("anchor"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("end"), F.col("several").alias("many")))
+        arrived.append(now.where("end"))
+        every = reduce(DataFrame.union, arrived).union(now.where("not end"))
+        now = now.where("not end")
         reach *= 2
-        if now.where("not end").isEmpty():
-            break
-    return now.select(*_KEY, F.when(F.col("end"), F.col("anchor")).alias("anchor"), "steps")
+    return reduce(DataFrame.union, arrived).select(*_KEY, "anchor", "steps", "many")
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes: conv_id, call_id (unique).  edges: conv_id, call_id, dep (distinct, both ends among nodes).
     conv_id, call_id, level: null for what is on a cycle or after one."""
     only = edges.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("dep").alias("dep"))
-    nodes = nodes.join(only, _KEY, "left").select(*_KEY, F.when(F.col("n") == 1, F.col("dep")).alias("up"), (F.coalesce("n", F.lit(0)) > 1).alias("many"))
-    jumps = _jump(nodes)
-    several = nodes.where("many").select(*_KEY)
-    # Edges between calls that have several predecessors, or none, with the length of the chain between.
-    chain = jumps.select("conv_id", F.col("call_id").alias("dep"), "anchor", "steps")
-    left = cut(edges.join(several, _KEY, "left_semi").join(chain, ["conv_id", "dep"]).select(*_KEY, "anchor", (F.col("steps") + 1).alias("far")))
-    known = cut(nodes.where("not many and up is null").select(*_KEY, F.lit(0).alias("level")))
-    fresh = known
-    done = left.limit(0).select(*_KEY, "anchor", "far", F.lit(0).alias("level"))
-    while not left.isEmpty():
-        at = fresh.select("conv_id", F.col("call_id").alias("anchor"), "level")
-        met = left.join(at, ["conv_id", "anchor"], "left")
-        done = cut(done.unionByName(met.where("level is not null")))
-        left = cut(met.where("level is null").select(*_KEY, "anchor", "far"))
-        ready = done.groupBy(*_KEY).agg(F.max(F.col("level") + F.col("far")).alias("level")).join(left, _KEY, "left_anti").join(known, _KEY, "left_anti")
-        fresh = cut(ready.select(*_KEY, "level"))
+    nodes = cut(nodes.join(only, _KEY, "left").select(*_KEY, F.when(F.col("n") == 1, F.col("dep")).alias("up"), (F.coalesce("n", F.lit(0)) > 1).alias("many"), F.coalesce("n", F.lit(0)).alias("n")))
+    jumps = cut(_jump(nodes.drop("n")))
+    # A call with several predecessors waits until all their chains begin at a call of known level; where one begins at a call
+    # without predecessors, the chain's length is that level.  Each call becomes known once, so each edge is met once.
+    chain = jumps.select("conv_id", F.col("call_id").alias("dep"), "anchor", "steps", F.col("many").alias("later"))
+    several = nodes.where("many").select(*_KEY, "n")
+    waiting = cut(edges.join(several, _KEY).join(chain, ["conv_id", "dep"]).select(*_KEY, "n", "anchor", (F.col("steps") + 1).alias("far"), "later"))
+    reached = lambda met, level: met.groupBy(*_KEY, "n").agg(F.count("*").alias("met"), F.max(level).alias("level"))
+    pending = cut(reached(waiting.where("not later"), F.col("far")))
+    known: list[DataFrame] = []
+    while True:
+        fresh = cut(pending.where("met = n").select(*_KEY, "level"))
         if fresh.isEmpty():
             break
-        known = known.union(fresh)
-    at = known.select("conv_id", F.col("call_id").alias("anchor"), "level")
-    return jumps.join(at, ["conv_id", "anchor"], "left").select(*_KEY, (F.col("level") + F.col("steps")).cast("int").alias("level"))
+        known.append(fresh)
+        at = fresh.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("start"))
+        more = reached(waiting.where("later").join(at, ["conv_id", "anchor"]), F.col("start") + F.col("far"))
+        pending = cut(pending.where("met < n").union(more).groupBy(*_KEY, "n").agg(F.sum("met").alias("met"), F.max("level").alias("level")))
+    found = jumps.where("not many").select(*_KEY, F.col("steps").alias("level"))
+    if known:
+        at = reduce(DataFrame.union, known).select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("start"))
+        found = found.union(jumps.where("many").join(at, ["conv_id", "anchor"]).select(*_KEY, F.col("start") + F.col("steps")))
+    return nodes.select(*_KEY).join(found, _KEY, "left").select(*_KEY, F.col("level").cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
