@@ -15,8 +15,8 @@ each space and starts a word, and one is set before the text unless it starts wi
 So words are counted one by one and each distinct word of a task once, in a cache of bounded
 size.  Documents are counted where they lie, without a shuffle.
 
-Defined results: a null or empty text has 0 tokens.  Repeated rows are counted alike.  A text
-of any length is counted whole; memory follows the longest text.
+Defined results: a null or empty text has 0 tokens.  Repeated rows are counted alike.  An empty table gives an
+empty one, and other columns may have any names.  A text of any length is counted whole; memory follows the longest text.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ Canonical form: ``.`` + host + U+0002 + path.  Host: after the first ``://`` up
 ``#`` or the end, A-Z lower-cased.  Path: then up to ``?``, ``#`` or the end.  A U+0002 of the
 URL itself becomes ``%02``, so the separator occurs once.
 
+Very long URLs are used whole, at a step a byte; an empty table gives an empty one; other columns may have any names.
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule
 and no glob, and gets the default verdict.  Of rules that fit, the longest wins (host plus path);
 of equally long ones the first listed.  Repeated rows are judged alike.
