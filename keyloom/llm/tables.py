@@ -12,15 +12,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.  Where that setting is
-    unset (a local session, as in tests) a temporary folder serves."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.  Where that setting is unset, a local
+    session (as in tests) gets a temporary folder, a cluster, whose machines would not see it, an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="keyloom-"))
     return named or context.getCheckpointDir()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is not needed any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and written to the shared folder, so that later jobs read
     them again even after executors are lost."""
