@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import unused
 from .words import bytes_of, slices, strings
 
 MARK = "\x02"
@@ -97,17 +98,19 @@ class Automaton:
 
 def judge(pages: DataFrame, url: str, rules: Sequence[Rule], globs: Sequence[Glob] = (), default: str = "allow", keep: Sequence[str] = ()) -> DataFrame:
     """`keep` columns plus host, path, rule (string or null), verdict and pattern (of the glob that
-    decided, or null).  A block glob beats an allow glob; both only count where no rule fits."""
-    found = F.col(f"`{url}`")
+    decided, or null), which replace kept columns of these names.  A block glob beats an allow glob; both only count where no rule fits."""
+    keep = [c for c in keep if c.lower() not in ("host", "path", "rule", "verdict", "pattern")]
+    pages = pages.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, url])))
+    found, (is_url, canonical, host, path) = F.col(f"`{url}`"), unused(pages, "is_url", "canonical", "the_host", "the_path")
     source = pages.select(
         *(F.col(f"`{c}`") for c in keep),
-        F.coalesce(F.regexp_extract(found, "://([^/?#]*)", 1), F.lit("")).alias("host"),
-        F.coalesce(F.regexp_extract(found, "://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
-        F.coalesce(found.contains("://"), F.lit(False)).alias("is_url"),
+        F.coalesce(F.regexp_extract(found, "://([^/?#]*)", 1), F.lit("")).alias(host),
+        F.coalesce(F.regexp_extract(found, "://[^/?#]*([^?#]*)", 1), F.lit("")).alias(path),
+        F.coalesce(found.contains("://"), F.lit(False)).alias(is_url),
     )
-    source = source.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    source = source.withColumn(host, F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     safe = lambda c: F.replace(F.col(c), F.lit(MARK), F.lit("%02"))
-    source = source.withColumn("canonical", F.when(F.col("is_url"), F.concat(F.lit("."), safe("host"), F.lit(MARK), safe("path"))).otherwise("")).drop("is_url")
+    source = source.withColumn(canonical, F.when(F.col(is_url), F.concat(F.lit("."), safe(host), F.lit(MARK), safe(path))).otherwise("")).drop(is_url)
     ranked = sorted(rules, key=lambda r: -len(r.host + r.path))
     decided = sorted(globs, key=lambda g: g.verdict != "block")
     machine = Automaton([r.glob for r in ranked] + [g.glob for g in decided])
@@ -118,17 +121,17 @@ def judge(pages: DataFrame, url: str, rules: Sequence[Rule], globs: Sequence[Glo
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            text = strings(batch.column("canonical"))
+            text = strings(batch.column(canonical))
             for lo, hi in slices(text):
                 hit = machine.run(*bytes_of(text.slice(lo, hi - lo)))
                 hit[pa.compute.equal(text.slice(lo, hi - lo), "").to_numpy(zero_copy_only=False)] = False
                 rule = np.where(hit[:, :n].any(1), hit[:, :n].argmax(1), n) if n else np.zeros(hi - lo, int)
                 glob = np.where(hit[:, n:].any(1), hit[:, n:].argmax(1), m) if m else np.zeros(hi - lo, int)
                 glob = np.where(rule < n, m, glob)
-                cols = [batch.column(c).slice(lo, hi - lo) for c in (*keep, "host", "path")]
+                cols = [batch.column(c).slice(lo, hi - lo) for c in (*keep, host, path)]
                 yield pa.RecordBatch.from_arrays([*cols, names.take(pa.array(rule)), verdicts.take(pa.array(np.where(rule < n, rule, n + glob))), said.take(pa.array(glob))], names=[*keep, "host", "path", "rule", "verdict", "pattern"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + "," * bool(keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*(F.col(f"`{c}`") for c in keep)).schema) + "," * bool(keep)
     return source.mapInArrow(batches, f"{kinds} host string, path string, rule string, verdict string, pattern string")
 
 

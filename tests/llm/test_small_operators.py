@@ -327,3 +327,10 @@ def test_columns_with_odd_names(spark):
     rows = spark.createDataFrame([(1, "http://a.org/x", 5)], "page_id long, `my url` string, host long")
     assert url_filter.judge(rows, "my url", url_filter.RULES, keep=["page_id"]).first().rule == "org/"
     assert rows.select(F.col("host")).first()[0] == 5
+    odd = spark.createDataFrame([("http://a.org/x", 5, "r", "c", "u")], "url string, host long, rule string, canonical string, is_url string")
+    got = url_filter.judge(odd, "url", url_filter.RULES, keep=["url", "host", "rule", "canonical", "is_url"]).first()
+    assert got.asDict() == {"url": "http://a.org/x", "canonical": "c", "is_url": "u", "host": "a.org", "path": "/x", "rule": "org/", "verdict": "allow", "pattern": None}
+    vectors = spark.createDataFrame([(0, [1, 2], 1, 1), (1, [3, 4], 1, 1)], "vec_id long, vector array<long>, score int, rank int")
+    assert topk.search(vectors.where("vec_id = 0"), vectors, 3).first().score == 11
+    packed = packing.pack(spark.createDataFrame([(5, 1, "b", 2, 3)], "length long, used long, bin string, sequence_id int, places int")).first()
+    assert (packed.length, packed.used, packed.bin, packed.places, packed.offset) == (5, 1, "b", 3, 0)
