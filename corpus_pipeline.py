@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import line_dedup, near_dup, packing, quality_rules, resampling
-from keyloom.llm.tables import folder, read
+from keyloom.llm.tables import folder, read, remove
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling does not take go."""
+    """Documents that importance resampling does not sample go; as many stay as the labels' share of good ones says."""
     return resampling.resample(docs, read(spark, sf_dir, "labels"))
 
 
@@ -46,9 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, at = read(spark, sf_dir, "documents"), f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows.  What a stage has written is removed once the next one's output is there; the last output stays in
+    the shared folder, for the caller to read."""
+    docs, at, before = read(spark, sf_dir, "documents"), f"{folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{at}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
