@@ -11,6 +11,7 @@ All is done on 64-bit word hashes, vectorised over slices of about a megabyte of
 the rows lie: no shuffle.  Memory follows the longest text.
 
 Defined results: a null or empty text has no words, all counts 0, and fails the base rules.
+An empty table gives an empty one; very long texts are used whole, one at a time; other columns may have any names.
 Repeated rows are judged alike.  Words are `[^\\x20\\x09-\\x0D]+`, lines are split at \\n.
 """
 
@@ -30,6 +31,8 @@ MIN_RUN, MAX_COVERED, MAX_RUN = 5, 40, 200
 #: Base rules: fewest words; most words of repeated 3-word windows in 100.
 MIN_WORDS, MAX_REPEAT = 50, 50
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+REPEATS = ("covered_words", "longest_repeat")
 #: Fixed value: the symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -131,7 +134,7 @@ def measure(column: pa.Array, least: int = MIN_RUN) -> dict[str, np.ndarray]:
     starts, ends = W.spans(raw, at)
     word, word_at = W.hashes(raw, starts, ends), np.searchsorted(starts, at)
     n = np.diff(word_at)
-    out = {"n_words": n, "word_chars": _per_text(~W._SEP[raw] & ((raw & 0xC0) != 0x80), at), "n_symbols": _per_text(_SYMBOL[raw], at)}
+    out = {"n_words": n, "word_chars": _per_text(~W.separators(raw) & ((raw & 0xC0) != 0x80), at), "n_symbols": _per_text(_SYMBOL[raw], at)}
     # Lines: cut at \n and at the ends of texts.
     cuts = np.flatnonzero(raw == 10)
     line_from = np.unique(np.concatenate([at[:-1], cuts + 1]))
@@ -158,7 +161,7 @@ def measure(column: pa.Array, least: int = MIN_RUN) -> dict[str, np.ndarray]:
 def judge(column: pa.Array, least: int = MIN_RUN, covered: int = MAX_COVERED, run: int = MAX_RUN) -> dict[str, np.ndarray]:
     """Counts of every text, base_failed and kept, slice by slice."""
     found = [measure(column.slice(lo, hi - lo), least) for lo, hi in W.slices(column)]
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
+    names = (*COUNTS, *REPEATS)
     out = {k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in names}
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT * out["n_words"])
     out["kept"] = ~out["base_failed"] & (100 * out["covered_words"] <= covered * out["n_words"]) & (out["longest_repeat"] <= run)
@@ -171,9 +174,11 @@ def assess(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             found = judge(W.strings(batch.column(batch.num_columns - 1)), **limits)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found.values())], names=[*keep, *found])
+            names = [*COUNTS, "base_failed", "kept", *REPEATS]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[n]) for n in names)], names=[*keep, *names])
 
-    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
+    longs = lambda names: "".join(f"{n} long, " for n in names)
+    counts = f"{longs(COUNTS)}base_failed boolean, kept boolean, {longs(REPEATS)}".rstrip(", ")
     return docs.select(*keep, docs[f"`{text}`"].alias("__text")).mapInArrow(W.lean(batches), kinds(docs, *keep) + counts)
 
 
