@@ -10,14 +10,16 @@ candidates, and are verified by the exact Jaccard similarity of their shingle se
 Exact copies (equal word sequences) are one class from the start, and only its least document goes on.  A
 band's bucket is never expanded into rows of pairs.  First its members meet its most central member, the one
 that shares most buckets with others over all bands.  Then the buckets whose members are still in different
-components are settled exactly: each is dealt into blocks of bounded size, every two blocks meet in
+components are settled exactly: the members of a bucket's largest component, and the others, are dealt into blocks of bounded
+size; the former's blocks meet those of the others, the latter's each other as well, each two in
 one task, and there every two members of different components that a prefix filter (exact: it loses no similar pair) cannot
 part are verified.  A task gives back one link for each join of components.  So no pair that shares a
-bucket is lost, and rows are in proportion to the band table, times the blocks of a bucket.
+bucket is lost, and rows are in proportion to the band table, times the blocks of those outside the largest component.
 
 Groups are the connected components of all verified links.  Defined results: a null text, or one
-without words, is alone.  A text of fewer than SHINGLE words is one shingle.  The least doc_id stands
+without words, is alone.  A text of fewer than SHINGLE words is one shingle; very long texts are used whole, one at a time.  The least doc_id stands
 for its group; rows with a null doc_id are alone.  Rows that repeat a doc_id count as one document, and stay or go together.
+An empty table gives an empty one.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .filters import Filter
 from .graph import components
-from .tables import cut, read
+from .tables import cut, drop, read, unused
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 REGISTERS = BANDS * ROWS
@@ -117,7 +119,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, bands: int = BANDS, rows: in
 
 
 def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, s: the distinct shingles of the documents in ids, by 32-bit hash.  Texts are not shuffled: each
+    """id, s: the distinct shingles of the documents in ids, by 64-bit hash.  Texts are not shuffled: each
     task makes the sets of the documents that pass a filter of ids, and an exact semi-join follows."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter.of(ids, "id").words)  # of fixed size
 
@@ -129,10 +131,9 @@ def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
             column = W.strings(batch.column(1))
             for lo, hi in W.slices(column):
                 element, _, at = shingles(*W.words(column.slice(lo, hi - lo)))
-                folded = (element >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(folded))], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(element.view(np.int64)))], names=["id", "s"])
 
-    made = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(W.lean(batches), "id long, s array<int>")
+    made = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(W.lean(batches), "id long, s array<long>")
     return made.join(ids, "id", "left_semi")
 
 
@@ -141,7 +142,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("s_u")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("s").alias("s_v")), "v")
     common = F.size(F.array_intersect("s_u", "s_v"))
-    return both.where(common >= similarity * (F.size(F.array_distinct("s_u")) + F.size(F.array_distinct("s_v")) - common) - 1e-9).select("u", "v")
+    return both.where(common >= similarity * (F.size("s_u") + F.size("s_v") - common) - 1e-9).select("u", "v")
 
 
 def _pairs(members: DataFrame, pivot: DataFrame, similarity: float) -> DataFrame:
@@ -193,13 +194,18 @@ def joins(id: np.ndarray, root: np.ndarray, side: np.ndarray, element: np.ndarra
 
 def _settled(known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """known: key, id, n, root.  Links u, v that join the components of all similar members of each bucket (None: no bucket has two)."""
-    buckets = known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum(F.col("n") + EACH).alias("load")).where("a <> b")
-    buckets = cut(buckets.select("key", "load", F.ceil(F.col("load") / BLOCK).alias("blocks")))
+    parts = known.groupBy("key", "root").agg(F.sum(F.col("n") + EACH).alias("load"))
+    buckets = parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("load").alias("load"), F.max(F.struct("load", "root")).alias("main")).where("roots > 1")
+    blocks = lambda load: F.ceil(load / BLOCK)
+    buckets = cut(buckets.select("key", "load", F.col("main.root").alias("main"), blocks(F.col("main.load")).alias("mains"), blocks(F.col("load") - F.col("main.load")).alias("others")))
     load = buckets.agg(F.sum("load")).first()[0]
     if load is None:
         return None
-    block = known.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    part = F.when(F.col("blocks") == 1, F.pmod("key", F.lit(load // BLOCK + 1))).otherwise(F.col("key"))  # small buckets meet in one task
+    whole, is_main, spread = F.col("load") <= BLOCK, F.col("root") == F.col("main"), F.xxhash64("id")
+    own = F.when(whole, 0).when(is_main, F.pmod(spread, "mains")).otherwise(F.col("mains") + F.pmod(spread, "others"))
+    meets = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.when(is_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1))
+    block = known.join(buckets, "key").withColumn("block", own.cast("long")).withColumn("with", F.explode(meets))
+    part = F.when(whole, F.pmod("key", F.lit(load // BLOCK + 1))).otherwise(F.col("key"))  # small buckets meet in one task
     block = block.select(part.alias("part"), F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "root")
 
     def meet(table: pa.Table) -> pa.Table:
@@ -217,13 +223,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
     """One row per row of docs: doc_id, class_id (the least doc_id of its group)."""
     marks = cut(sketch(docs, doc_id, text, bands, rows))
     real = marks.where("id is not null and n > 0")
-    first = real.groupBy("x", "y").agg(F.min(F.struct("id", "n", "bands")).alias("d"), F.count("*").alias("c"))
+    first = cut(real.groupBy("x", "y").agg(F.min(F.struct("id", "n", "bands")).alias("d")))
     heads = first.select("d.id", "d.n", F.explode("d.bands").alias("key"))
     shared = heads.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(heads.join(shared, "key"))  # rows of documents that share a bucket, for each such bucket
     central = members.groupBy("id").agg(F.sum("size").alias("central"))
-    members = cut(members.drop("size").join(central, "id"))
-    pivot = members.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("central", -F.col("id"))).alias("p")).select("key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.id").alias("p_root"))
+    pivot = members.join(central, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("central", -F.col("id"))).alias("p")).select("key", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.id").alias("p_root"))
     sets = cut(_sets(docs, members.select("id").distinct(), doc_id, text).dropDuplicates(["id"]))
     links = cut(_verified(_pairs(members.withColumn("root", F.col("id")), pivot, similarity), sets, similarity))
     roots = components(links)
@@ -231,7 +236,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
     fresh = _settled(known, sets, similarity)
     if fresh is not None and not fresh.isEmpty():
         roots = components(links.union(fresh))
-    classes = marks.select("id", "x", "y", "n").join(first.select("x", "y", F.col("d.id").alias("head"), F.lit(1).alias("one")), ["x", "y"], "left")
+        drop(fresh)
+    drop(sets, members, links, known)
+    classes = marks.select("id", "x", "y", "n").join(first.select("x", "y", F.col("d.id").alias("head")), ["x", "y"], "left")
     named = classes.withColumn("head", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("head")).otherwise(F.col("id")))
     named = named.join(roots.select(F.col("node").alias("head"), "root"), "head", "left")
     return named.select(F.col("id").alias("doc_id"), F.coalesce("root", "head").alias("class_id"))
@@ -239,8 +246,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but for documents that are not the least of their group."""
-    gone = groups(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = groups(docs).where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

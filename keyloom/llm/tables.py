@@ -48,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop(*frames: DataFrame) -> None:
+    """Removes what cut() has written for these frames; nothing may read them any more."""
+    for df in frames:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(df.sparkSession, file.get())
+
+
 def kinds(df: DataFrame, *names: str) -> str:
     """DDL of the named columns, each followed by a comma."""
     return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
