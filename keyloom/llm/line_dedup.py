@@ -1,6 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words.  Words are ordered by rarity, as counted over all lines in a
+A line is the set of its words.  Lines of equal sets are found by a hash of the set: all but the first go.
+Words are ordered by rarity, as counted over all lines in a
 table of RARITY counters (words that share a counter share a rank; any order common to all lines gives
 exact results).  Two lines of similarity t or more share one of the n - ceil(t n) + 1 rarest words of
 each (prefix filter), of which one posting each is dealt to the word's bucket.  In a bucket, the lines of a word
@@ -9,14 +10,17 @@ meet in the order of the documents.  A pair goes on if its sizes (length filter)
 modulo 16, which can only understate how much two lines differ); it is then verified by exact Jaccard.
 
 A line goes if any earlier line is similar enough, whether or not that one goes as well; earlier is by
-(doc_id, line number).  So a line needs one match.  Of the lines of a word that pass the filters it first meets all, if they are
-few, or else the closest; lines that fail with these and had more to meet, then meet all the rest.  Copies cost a few
-candidates each, however many there are, and nothing is capped.  Copies within a chunk of a task are settled before
-the shuffle.
-
-Defined results: lines are split at \\n; a line without a word never goes; a null text has no lines.  Rows
-with a null doc_id stay as they are and are compared with none.  Rows that repeat a doc_id count as one document: the same
-line numbers go from each.  Lines of up to three words only match equal sets.
+(doc_id, line number).  So a line needs one match.  Postings of a word that look alike in all that the filters see stand behind the first
+of them.  Of the lines of a word that pass the filters a line first meets all, if they are
+few, or else the closest; lines that fail with these and had more to meet, then meet the rest.  Copies cost a few
+candidates each, however many there are, and nothing is capped.  Later rounds compare the counts over 64 hash classes too, which
+leaves hardly any dissimilar pair; they first take the closest, and all for lines that still fail.  Copies within a task's input are settled before
+the shuffle, so a line that all documents share is one posting a word and task.
+
+Defined results: lines are split at \\n; a line without a word never goes; a null text has no lines.  Very long texts and lines are used
+whole, one at a time.  Rows with a null doc_id stay as they are and are compared with none.  Rows that repeat a doc_id count as one document: the same
+line numbers go from each.  Where only equal sets reach the similarity (up to three words at 0.8), lines match by equal sets alone.
+An empty table gives an empty one.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,24 +34,36 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .filters import Filter
-from .tables import cut, read
+from .tables import cut, drop, read, unused
 
 SIMILARITY, RARITY = 0.8, 1 << 18
 #: Earlier lines of a word that a line is verified with at once: all, if there are so many at most, else the closest
 #: CLOSE; postings of a very common word.
 FEW, CLOSE, COMMON = 2, 1, 1024
+#: Earlier lines of a word that a line whose first ones failed is verified with next; postings that it meets at once.
+THEN, MEET = 256, 1 << 16
+#: Parts that the counters are added up in.
+PARTS = 256
 #: Buckets of postings for each partition of the input; text whose postings a task holds at once.
 SPREAD, CHUNK_BYTES = 4, 1 << 22
 _CODE = 38  # bits of a word's hash within its code; 6 bits of rarity stand above
 _POST = np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("place", "<i4"), ("counts", "<u8")])
+#: As in the second round, with counts over 64 hash classes, of two bits each: the low bits, the high bits.
+_FINE = np.dtype([*_POST.descr, ("ones", "<u8"), ("twos", "<u8")])
+
+
+def _begins(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number and first byte of each line that has a byte or ends in \\n)."""
+    begin = np.flatnonzero(raw == 10) + 1
+    begin = np.insert(begin, np.searchsorted(begin, at[:-1]), at[:-1])
+    begin = begin[(begin < len(raw)) & (np.diff(begin, prepend=-1) > 0)]
+    text = np.searchsorted(at, begin, "right") - 1
+    return text, np.arange(len(begin)) - np.searchsorted(text, text), begin
 
 
 def _lines(raw: np.ndarray, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text and number of each line that has a word, first word of each)."""
-    begin = np.unique(np.concatenate([at[:-1], np.flatnonzero(raw == 10) + 1]))
-    begin = begin[begin < len(raw)]
-    text = np.searchsorted(at, begin, "right") - 1
-    number = np.arange(len(begin)) - np.searchsorted(text, text)
+    text, number, begin = _begins(raw, at)
     word = np.searchsorted(starts, begin)
     has = np.diff(np.concatenate([word, [len(starts)]])) > 0
     return text[has], number[has], word[has]
@@ -65,19 +81,36 @@ def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 def rarity(docs: DataFrame) -> np.ndarray:
     """Six-bit rank of each counter: of how many words it has seen, the logarithm."""
 
+    each, most = RARITY // PARTS, np.iinfo(np.uint32).max
+
+    def rows(seen: np.ndarray, dtype: str) -> pa.RecordBatch:
+        cells = seen.astype(dtype).reshape(-1, each)
+        some = np.flatnonzero(cells.any(1))
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([cells[i].tobytes() for i in some], pa.binary())], names=["part", "seen"])
+
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(RARITY, np.int64)
+        seen, total = np.zeros(RARITY, np.int64), 0
         for batch in it:
             for *_, word in _parts(W.strings(batch.column(0))):
+                if total + len(word) > most:
+                    yield rows(seen, "<u4")
+                    seen, total = np.zeros(RARITY, np.int64), 0
                 seen += np.bincount((word & np.uint64(RARITY - 1)).astype(np.int64), minlength=RARITY)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["slot", "seen"])
+                total += len(word)
+        yield rows(seen, "<u4")
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in it:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(blob, "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["part", "seen"])
 
-    rows = docs.select("text").mapInArrow(W.lean(count), "slot long, seen long").groupBy("slot").agg(F.least(F.lit(63), F.floor(2 * F.log2(F.sum("seen") + 1))).cast("byte").alias("rank"))
-    table = rows.select(F.col("slot").cast("int"), "rank").toArrow()  # RARITY rows at most
-    rank = np.zeros(RARITY, np.uint64)
-    rank[np.asarray(table["slot"])] = np.asarray(table["rank"])
-    return rank
+    counted = docs.select("text").mapInArrow(W.lean(count), "part int, seen binary").repartition("part").mapInArrow(W.lean(add), "part int, seen binary")
+    seen = np.zeros((PARTS, each))
+    for row in counted.collect():  # PARTS rows
+        seen[row.part] += np.frombuffer(row.seen, "<i8")
+    return np.minimum(63, np.floor(2 * np.log2(seen.ravel() + 1))).astype(np.uint64)
 
 
 def _sets(first: np.ndarray, word: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +143,47 @@ def _place(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(32)).astype(np.uint32), (key % np.uint64(buckets)).astype(np.int64)
 
 
+def _asked(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, token) of each word."""
+    token, bucket = _place(W.mix(code), buckets)
+    return bucket, token.astype(np.int64)
+
+
+class _Leads:
+    """The earliest line of each set that a task has seen, by the hash of the set."""
+
+    def __init__(self):
+        self.mark, self.doc, self.line = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, mark: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which lines are no leads; which of these are copies of an earlier line, not repeated rows)."""
+        order = np.lexsort((line, doc, mark))
+        mark, doc, line = mark[order], doc[order], line[order]
+        fresh = np.ones(len(mark), bool)
+        fresh[1:] = mark[1:] != mark[:-1]
+        head = np.flatnonzero(fresh)
+        place = np.searchsorted(self.mark, mark[head])
+        at = np.minimum(place, max(0, len(self.mark) - 1))
+        known = self.mark[at] == mark[head] if len(self.mark) else np.zeros(len(head), bool)
+        first_doc, first_line = doc[head].copy(), line[head].copy()
+        before = known.copy()
+        before[known] = (self.doc[at[known]] < first_doc[known]) | ((self.doc[at[known]] == first_doc[known]) & (self.line[at[known]] <= first_line[known]))
+        first_doc[before], first_line[before] = self.doc[at[before]], self.line[at[before]]
+        self.doc[at[known]], self.line[at[known]] = first_doc[known], first_line[known]
+        new = ~known
+        self.mark, self.doc, self.line = (np.insert(x, place[new], y[new]) for x, y in ((self.mark, mark[head]), (self.doc, first_doc), (self.line, first_line)))
+        many = np.diff(np.append(head, len(mark)))
+        other = (doc != np.repeat(first_doc, many)) | (line != np.repeat(first_line, many))
+        none = ~fresh
+        none[head[before]] = True
+        out = np.zeros(len(order), bool)
+        out[order[none]] = True
+        return out, order[none & other]
+
+
 def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Filter | None = None) -> DataFrame:
-    """bucket, kind, blob: packed postings (kind 0), and lines that are copies of an earlier one of their chunk (kind 1).
+    """bucket, kind, blob: packed postings (kind 0), lines that are copies of an earlier one of their chunk (kind 1), and
+    the others with the hash of their set as counts, dealt by it (kind 2).
     With `only`, a filter of (bucket, token), just the postings that pass it."""
     shared = docs.sparkSession.sparkContext.broadcast((rank, None if only is None else only.words))  # of fixed size
 
@@ -119,10 +191,14 @@ def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Fi
         ranks, asked = shared.value
         wanted = None if asked is None else Filter(asked)
 
+        earlier = _Leads()
+
         def chunk(ids: np.ndarray, known: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
             lines, posts, total = [], [], 0
             for text, number, first, word in _parts(column):
                 use = known[text]
+                if wanted is not None and len(first):
+                    use &= np.logical_or.reduceat(wanted.may_have(*_asked(_codes(word, ranks), buckets)), first)
                 if not use.all():
                     words = np.repeat(use, np.diff(np.concatenate([first, [len(word)]])))
                     word = word[words]
@@ -135,38 +211,45 @@ def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Fi
                 cell = np.bincount((W.owners(at) << 4) | (W.mix(code) >> np.uint64(60)).astype(np.int64), minlength=16 * len(n)).reshape(-1, 16)
                 counts = ((cell & 15).astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(1, dtype=np.uint64)
                 mark = np.add.reduceat(W.mix(code ^ np.uint64(0xABCD)), at[:-1]) ^ W.mix(n.astype(np.uint64))
-                size = prefix_length(n, t)
+                size = np.where(n * (1 - t) < t - 1e-6, 0, prefix_length(n, t))  # none where only equal sets are similar
                 line = np.repeat(np.arange(len(n)), size)
                 place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
                 key = W.mix(code[np.repeat(at[:-1], size) + place])
-                few = n[line] * (1 - t) < t - 1e-6  # such lines match equal sets only
-                key[few] = mark[line[few]]
                 token, bucket = _place(key, buckets)
                 line += total
                 if wanted is not None:
                     some = wanted.may_have(bucket, token.astype(np.int64))
                     line, place, token, bucket = line[some], place[some], token[some], bucket[some]
-                lines.append((ids[text], number, n, counts, mark))
+                fine = [np.zeros(0, np.uint64)] * 2
+                if wanted is not None:
+                    cell = np.bincount((W.owners(at) << 6) | (W.mix(code) >> np.uint64(54) & np.uint64(63)).astype(np.int64), minlength=64 * len(n)).reshape(-1, 64)
+                    fine = [np.packbits(cell & b > 0, axis=1, bitorder="little").view("<u8").ravel() for b in (1, 2)]
+                lines.append((ids[text], number, n, counts, mark, *fine))
                 posts.append((line, place, token, bucket))
                 total += len(n)
             if not lines:
                 return
-            doc, number, n, counts, mark = (np.concatenate(c) for c in zip(*lines, strict=True))
+            doc, number, n, counts, mark, *fine = (np.concatenate(c) for c in zip(*lines, strict=True))
             line, place, token, bucket = (np.concatenate(c) for c in zip(*posts, strict=True))
-            order = np.lexsort((number, doc, mark))
-            copy = np.zeros(total, bool)
-            copy[order[1:]] = mark[order[1:]] == mark[order[:-1]]
-            lead = order[np.maximum.accumulate(np.where(~copy[order], np.arange(total), 0))]
-            same = (doc[lead] == doc[order]) & (number[lead] == number[order])  # a repeated row
-            gone = order[copy[order] & ~same]
-            columns = lambda i, p, tok: [tok, doc[i], number[i].astype(np.int32), n[i].astype(np.int32), p.astype(np.int32), counts[i]]  # noqa: E731  in the order of _POST
+            copy, gone = np.zeros(total, bool), np.zeros(0, np.int64)
+            if wanted is None:
+                copy, gone = earlier.add(mark, doc, number)
+            columns = lambda i, p, tok: [tok, doc[i], number[i].astype(np.int32), n[i].astype(np.int32), p.astype(np.int32), counts[i], *(f[i] for f in fine if wanted is not None)]  # noqa: E731  in the order of _FINE
             by = np.flatnonzero(~copy[line])
             by = by[np.argsort(bucket[by].astype(np.uint16) if buckets <= 1 << 16 else bucket[by], kind="stable")]
             bucket, full = bucket[by], columns(line[by], place[by], token[by])
             edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            rows = [(int(bucket[a]), 0, b"".join(c[a:b].tobytes() for c in full)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            if len(gone) and wanted is None:
-                rows.append((int(mark[gone[0]] % np.uint64(buckets)), 1, b"".join(c.tobytes() for c in columns(gone, np.zeros(len(gone)), np.zeros(len(gone), np.uint32)))))
+            rows = [(int(bucket[a]), 0, _pack([c[a:b] for c in full])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            if wanted is None:
+                none = lambda i: (np.zeros(len(i), np.int32), np.zeros(len(i), np.uint32))
+                if len(gone):
+                    rows.append((int(mark[gone[0]] % np.uint64(buckets)), 1, _pack(columns(gone, *none(gone)))))
+                by = np.flatnonzero(~copy)
+                counts, bucket = mark, (mark % np.uint64(buckets)).astype(np.int64)
+                by = by[np.argsort(bucket[by], kind="stable")]
+                edge = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
+                full = columns(by, *none(by))
+                rows += [(int(bucket[by[a]]), 2, _pack([c[a:b] for c in full])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
         for batch in it:
@@ -177,45 +260,85 @@ def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Fi
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(W.lean(deal), "bucket long, kind int, blob binary")
 
 
-def _unpack(blobs: list[bytes]) -> np.ndarray:
-    """Postings are packed column by column, which compresses better."""
-    out = []
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of postings, each as its lowest bytes, then the next and so on: the high ones are mostly 0 and compress."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+
+
+def _unpack(blobs: list[bytes], kind: np.dtype = _POST) -> dict[str, np.ndarray]:
+    out: dict[str, list] = {c: [np.zeros(0, kind[c])] for c in kind.names}
     for blob in blobs:
-        n, at = len(blob) // _POST.itemsize, 0
-        table = np.empty(n, _POST)
-        for c in _POST.names:
-            size = n * _POST[c].itemsize
-            table[c] = np.frombuffer(blob[at : at + size], _POST[c])
-            at += size
-        out.append(table)
-    return np.concatenate(out) if out else np.empty(0, _POST)
+        n, at = len(blob) // kind.itemsize, 0
+        for c in kind.names:
+            size = kind[c].itemsize
+            out[c].append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(kind[c]).ravel())
+            at += n * size
+    return {c: np.concatenate(v) for c, v in out.items()}
+
+
+def _copies(post: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The lines whose set an earlier line has, by the hash of the set."""
+    order = np.lexsort((post["line"], post["doc"], post["counts"]))
+    post = {c: v[order] for c, v in post.items()}
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = post["counts"][1:] != post["counts"][:-1]
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    other = (post["doc"] != post["doc"][first]) | (post["line"] != post["line"][first])  # a repeated row is no copy
+    return {c: v[other] for c, v in post.items()}
 
 
 class _Postings:
     """Postings of a bucket by word, then document order, as columns; `start` is the first of the same word."""
 
-    def __init__(self, blobs: list[bytes], t: float, shared: bool = True):
-        post = _unpack(blobs)
-        if shared:  # a word of one posting has no pairs
-            order = np.argsort(post["token"])
-            token = post["token"][order]
-            twice = np.zeros(len(order), bool)
-            twice[1:] = token[1:] == token[:-1]
-            twice[:-1] |= twice[1:]
-            post = post[order[twice]]
-        post = post[np.lexsort((post["line"], post["doc"], post["token"]))]
+    def __init__(self, blobs: list[bytes], t: float, kind: np.dtype = _POST):
+        post = _unpack(blobs, kind)
+        order = np.argsort(post["token"])
+        token = post["token"][order]
+        twice = np.zeros(len(order), bool)  # a word of one posting has no pairs
+        twice[1:] = token[1:] == token[:-1]
+        twice[:-1] |= twice[1:]
+        order = order[twice]
+        order = order[np.lexsort((post["line"][order], post["doc"][order], post["token"][order]))]
+        self._set(t, {c: v[order] for c, v in post.items()})
+
+    def _set(self, t: float, post: dict[str, np.ndarray]) -> None:
         self.t = t
-        self.token, self.doc, self.line, self.n, self.counts = (np.ascontiguousarray(post[c]) for c in ("token", "doc", "line", "n", "counts"))
-        self.tail = self.n - post["place"]  # words from this one on
-        fresh = np.ones(len(post), bool)
+        self.token, self.doc, self.line, self.n, self.place, self.counts = (post[c] for c in _POST.names)
+        self.ones, self.twos = post.get("ones"), post.get("twos")
+        self.tail = self.n - self.place  # words from this one on
+        fresh = np.ones(len(self.token), bool)
         fresh[1:] = self.token[1:] != self.token[:-1]
-        self.start = np.maximum.accumulate(np.where(fresh, np.arange(len(post)), 0))
+        self.start = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
         self.low = self.counts & np.uint64(0x0F0F0F0F0F0F0F0F)
         self.high = (self.counts >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)
 
     def __len__(self) -> int:
         return len(self.token)
 
+    def lead(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keeps, of the postings of a word that look alike (in size, place and counts), the first.  (Postings that
+        go, those that they look like; as postings before.)  many: which of those that stay have had others."""
+        key = W.mix(self.counts ^ W.mix((self.token.astype(np.uint64) << np.uint64(32)) ^ W.mix((self.n.astype(np.uint64) << np.uint64(32)) | self.place.astype(np.uint64))))
+        order = np.argsort(key, kind="stable")
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[order[1:]] != key[order[:-1]]
+        first = np.empty(len(key), np.int64)
+        first[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
+        again = np.flatnonzero(first != np.arange(len(key)))
+        like = first[again]
+        other = (self.doc[again] != self.doc[like]) | (self.line[again] != self.line[like])
+        y, x = self[again[other]], self[like[other]]
+        stay = np.ones(len(key), bool)
+        stay[again] = False
+        self.many = np.zeros(len(key), bool)
+        self.many[like] = True
+        self.many = self.many[stay]
+        self._set(self.t, {c: getattr(self, c)[stay] for c in _POST.names})
+        return y, x
+
+    def __getitem__(self, i: np.ndarray) -> dict[str, np.ndarray]:
+        return {"token": self.token[i], "doc": self.doc[i], "line": self.line[i]}
+
     def may(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which pairs pass the length, positional and count filters, how far apart these are)."""
         n, m = self.n[x], self.n[y]
@@ -229,6 +352,13 @@ class _Postings:
             gap = (part[x].view(np.uint8) - part[y].view(np.uint8)) & 15
             apart += np.minimum(gap, 16 - gap).reshape(-1, 8).sum(1, dtype=np.int64)
         ok = apart <= most
+        if self.ones is None:
+            return at[ok], apart[ok]
+        at, x, y, most = at[ok], x[ok], y[ok], most[ok]
+        # Differences modulo 4 of two-bit counts: odd ones are 1 or 3, at least 1 apart, the others 0 or 2.
+        odd, twos = self.ones[x] ^ self.ones[y], self.twos[x] ^ self.twos[y]
+        apart = np.bitwise_count(odd).astype(np.int64) + 2 * np.bitwise_count(twos & ~odd)
+        ok = apart <= most
         return at[ok], apart[ok]
 
 
@@ -236,9 +366,10 @@ _FOUND = "y_doc long, y_line int, x_doc long, x_line int, kind int, bucket long,
 _KINDS = pa.schema([("y_doc", pa.int64()), ("y_line", pa.int32()), ("x_doc", pa.int64()), ("x_line", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("token", pa.int64())])
 
 
-def _rows(posts: _Postings, y: np.ndarray, x: np.ndarray, kind: np.ndarray | int, bucket: int) -> pa.Table:
-    full = lambda v: np.full(len(y), v) if np.isscalar(v) else v
-    cols = [posts.doc[y], posts.line[y], posts.doc[x], posts.line[x], full(kind), full(bucket), posts.token[y]]
+def _rows(y: np.ndarray, x: np.ndarray, kind: np.ndarray | int, bucket: int) -> pa.Table:
+    """y, x: postings."""
+    full = lambda v: np.full(len(y["doc"]), v) if np.isscalar(v) else v
+    cols = [y["doc"], y["line"], x["doc"], x["line"], full(kind), full(bucket), y["token"]]
     return pa.table([pa.array(c).cast(f.type) for c, f in zip(cols, _KINDS, strict=True)], schema=_KINDS)
 
 
@@ -265,11 +396,11 @@ def _first(t: float):
         bucket = table["bucket"][0].as_py() if len(table) else 0
         kind, blobs = np.asarray(table["kind"]), table["blob"].to_pylist()
         posts = _Postings([b for b, k in zip(blobs, kind, strict=True) if k == 0], t)
-        gone = _Postings([b for b, k in zip(blobs, kind, strict=True) if k == 1], t, shared=False)
-        everyone = np.arange(len(gone))
-        out = [_rows(gone, everyone, everyone, 1, bucket)]
+        of = lambda what: _unpack([b for b, k in zip(blobs, kind, strict=True) if k == what])
+        out = [_rows(gone, gone, 1, bucket) for gone in (of(1), _copies(of(2)))]
+        out.append(_rows(*posts.lead(), 2, bucket))
         if not len(posts):
-            return out[0]
+            return pa.concat_tables(out)
         size = np.diff(np.append(np.unique(posts.start), len(posts)))
         common = np.repeat(size > COMMON, size)
         some = np.flatnonzero(~common & np.repeat(size > 1, size))
@@ -281,44 +412,49 @@ def _first(t: float):
             x, y = x[order], y[order]
             head = np.flatnonzero(np.diff(y, prepend=-1))
             many = np.diff(np.append(head, len(y)))
-            more = np.repeat(many > FEW, many)
-            keep = ~more | (np.arange(len(y)) - np.repeat(head, many) < CLOSE)
-            out.append(_rows(posts, y[keep], x[keep], np.where(more[keep], 2, 0), bucket))
+            more = np.repeat((many > FEW) | np.logical_or.reduceat(posts.many[x], head), many)
+            keep = np.arange(len(y)) - np.repeat(head, many) < np.repeat(np.where(many > FEW, CLOSE, FEW), many)
+            out.append(_rows(posts[y[keep]], posts[x[keep]], np.where(more[keep], 2, 0), bucket))
         live, k = np.flatnonzero(common), 0
         while len(live):
             live = live[posts.start[live] + k < live]
             at, _ = posts.may(posts.start[live] + k, live)
             y = live[at]
-            out.append(_rows(posts, y, posts.start[y] + k, np.where(posts.start[y] + k + 1 < y, 2, 0), bucket))
+            out.append(_rows(posts[y], posts[posts.start[y] + k], np.where((posts.start[y] + k + 1 < y) | posts.many[posts.start[y] + k], 2, 0), bucket))
             live = np.delete(live, at)
             k += 1
-        del posts, gone, blobs
+        del posts, blobs
         W.trim()
         return pa.concat_tables(out)
 
     return meet
 
 
-def _rest(t: float):
-    """For the asked lines, all earlier ones of the word that pass the filters."""
+def _rest(t: float, most: int | None):
+    """For the asked lines the earlier ones of the word that pass the filters: the `most` closest (kind 2 where there are
+    more, else 0), or all."""
 
     def meet(table: pa.Table, asked: pa.Table) -> pa.Table:
-        posts = _Postings([b for b, k in zip(table["blob"].to_pylist(), table["kind"].to_pylist(), strict=True) if k == 0], t)
-        none = np.zeros(0, np.int64)
-        out = [_rows(posts, none, none, 0, 0)]
+        posts = _Postings([b for b, k in zip(table["blob"].to_pylist(), table["kind"].to_pylist(), strict=True) if k == 0], t, _FINE)
+        none, bucket = np.zeros(0, np.int64), asked["bucket"][0].as_py() if len(asked) else 0
+        out = [_rows(posts[none], posts[none], 0, bucket)]
         if len(asked) and len(posts):
             mark = lambda token, doc, line: W.mix(W.mix(doc.astype(np.int64).view(np.uint64)) + (line.astype(np.uint64) << np.uint64(32)) + token.astype(np.uint64))
             have, want = mark(posts.token, posts.doc, posts.line), mark(*(np.asarray(asked[c]) for c in ("token", "y_doc", "y_line")))
             order = np.argsort(have)
             place = np.minimum(np.searchsorted(have[order], want), len(have) - 1)
-            ys = order[place][have[order][place] == want]
-            for lo in range(0, len(ys), 256):
-                y = ys[lo : lo + 256]
-                many = y - posts.start[y]
-                each = np.repeat(y, many)
-                x = np.repeat(posts.start[y], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                at, _ = posts.may(x, each)
-                out.append(_rows(posts, each[at], x[at], 0, 0))
+            for y in np.unique(order[place][have[order][place] == want]):
+                best, apart = none, none
+                for lo in range(posts.start[y], y, MEET):  # in blocks
+                    x = np.arange(lo, min(y, lo + MEET))
+                    at, far = posts.may(x, np.full(len(x), y))
+                    best, apart = np.append(best, x[at]), np.append(apart, far)
+                    if most is not None and len(best) > most:
+                        first = np.argsort(apart, kind="stable")[: most + 1]
+                        best, apart = best[first], apart[first]
+                more = most is not None and len(best) > most
+                best = best[np.argsort(apart, kind="stable")[:most]]
+                out.append(_rows(posts[np.full(len(best), y)], posts[best], 2 if more else 0, bucket))
         return pa.concat_tables(out)
 
     return meet
@@ -335,13 +471,22 @@ def _line_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.filter(pa.array(doc.may_have(np.asarray(batch.column(0)))))
             ids = np.asarray(batch.column(0))
-            for text, number, first, word in _parts(W.strings(batch.column(1))):
-                use = line.may_have(ids[text], number)
-                ends = np.concatenate([first[1:], [len(word)]])
-                sets = [np.unique(word[a:b]).view(np.int64) for a, b in zip(first[use], ends[use], strict=True)]
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text[use]]), pa.array(number[use].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "line", "s"])
+            column = W.strings(batch.column(1))
+            for lo, hi in W.slices(column):
+                raw, at = W.bytes_of(column.slice(lo, hi - lo))
+                text, number, begin = _begins(raw, at)
+                use = line.may_have(ids[lo + text], number)
+                size = np.diff(begin, append=len(raw))[use]
+                to = np.concatenate([[0], np.cumsum(size)])
+                raw = raw[np.repeat(begin[use] - to[:-1], size) + np.arange(to[-1])]  # these lines alone
+                starts, ends = W.spans(raw, to)
+                word, owner = W.hashes(raw, starts, ends), np.searchsorted(to, starts, "right") - 1
+                order = np.lexsort((word, owner))
+                word, owner = word[order], owner[order]
+                head = np.ones(len(word), bool)
+                head[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+                offsets = np.searchsorted(owner[head], np.arange(len(size) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + text[use]]), pa.array(number[use].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(word[head].view(np.int64)))], names=["doc", "line", "s"])
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(W.lean(batches), "doc long, line int, s array<long>")
     return made.join(needed, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
@@ -364,28 +509,37 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     rank = rarity(docs)
     posts = postings(docs, rank, buckets, similarity)
     found = cut(posts.groupBy("bucket").applyInArrow(_first(similarity), _FOUND))
-    pairs = found.where("kind <> 1")
-    gone = cut(_verified(docs, pairs.select("y_doc", "y_line", "x_doc", "x_line").distinct(), similarity).union(found.where("kind = 1").select("y_doc", "y_line").distinct()))
-    open_ = cut(pairs.where("kind = 2").join(gone, ["y_doc", "y_line"], "left_anti").select("bucket", "token", "y_doc", "y_line"))
-    if not open_.isEmpty():
+    copies = cut(found.where("kind = 1").select("y_doc", "y_line").distinct())
+    pairs = found.where("kind <> 1").join(copies, ["y_doc", "y_line"], "left_anti")
+    gone = cut(_verified(docs, pairs.select("y_doc", "y_line", "x_doc", "x_line").distinct(), similarity).union(copies))
+    spent = [found, copies]
+    for most in (THEN, None):
+        open_ = cut(pairs.where("kind = 2").join(gone, ["y_doc", "y_line"], "left_anti").select("bucket", "token", "y_doc", "y_line").distinct())
+        drop(*spent)
+        spent = [open_]
+        if open_.isEmpty():
+            break
         again = postings(docs, rank, buckets, similarity, Filter.of(open_, "bucket", "token"))
-        rest = again.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_rest(similarity), _FOUND)
-        rest = cut(rest.select("y_doc", "y_line", "x_doc", "x_line").distinct())
-        gone = gone.union(_verified(docs, rest, similarity))
+        pairs = cut(again.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_rest(similarity, most), _FOUND))
+        more = cut(gone.union(_verified(docs, pairs.select("y_doc", "y_line", "x_doc", "x_line").distinct(), similarity)))
+        spent += [pairs, gone]
+        gone = more
+    drop(*spent)
     return gone.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"))
 
 
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs, all columns, without the repeated lines; n_chars, if there, counts what is left.
     Documents that lose every line that has a word go."""
-    gone = repeated_lines(docs, similarity).groupBy("doc_id").agg(F.collect_set("line").alias("__lines")).withColumnRenamed("doc_id", "__doc")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left")
-    joined = joined.withColumn("__left", F.when(F.col("__lines").isNotNull(), left)).where(F.col("__lines").isNull() | F.col("__left").rlike(r"[^\x20\x09-\x0D]"))
+    doc, lines, rest = unused(docs, "doc", "lines", "rest")
+    gone = repeated_lines(docs, similarity).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(lines))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    joined = docs.join(gone, docs["doc_id"] == gone[doc], "left")
+    joined = joined.withColumn(rest, F.when(F.col(lines).isNotNull(), left)).where(F.col(lines).isNull() | F.col(rest).rlike(r"[^\x20\x09-\x0D]"))
     out = {c: F.col(f"`{c}`") for c in docs.columns}
-    out["text"] = F.coalesce("__left", "text")
+    out["text"] = F.coalesce(rest, "text")
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("__left").isNotNull(), F.length("__left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(F.col(rest).isNotNull(), F.length(rest).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return joined.select(*(v.alias(c) for c, v in out.items()))
 
 

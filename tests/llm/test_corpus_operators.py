@@ -221,6 +221,32 @@ def test_crowded_bucket(spark, monkeypatch):
         assert {x.doc_id: x.class_id for x in near_dup.groups(docs, bands=6, rows=1).collect()} == want
 
 
+def test_hot_group_with_strangers(spark, monkeypatch):
+    """A large group of edits of one text, which shares its buckets with many strangers and with pairs that are similar: no link is lost,
+    in one block or in many, and the group's own blocks do not meet each other."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(2):
+            words[r.randrange(60, 100)] = f"edit{r.randrange(40)}"
+        texts.append(" ".join(words))
+    strangers = [base[:60] + [f"s{i}_{k}" for k in range(40)] for i in range(40)]
+    texts += [" ".join(w) for w in strangers] + [" ".join(w[:-3] + ["x", "y", "z"]) for w in strangers[::2]]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_groups(dict(enumerate(texts)))
+    met = []
+    real = near_dup.cut
+    monkeypatch.setattr(near_dup, "cut", lambda df: met.append(df.columns) or real(df))
+    for block in (1 << 19, 15_000):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        got = {x.doc_id: x.class_id for x in near_dup.groups(docs, bands=8, rows=2).collect()}
+        assert got == want
+    assert ["key", "load", "main", "mains", "others"] in met
+
+
 def test_other_repeat_counts(spark):
     """Near copies that differ in how often a passage repeats: the sets count, not the occurrences."""
     texts = []
@@ -284,6 +310,30 @@ def test_rest_after_a_failed_first_match(spark):
     assert {(x.doc_id, x.line) for x in line_dedup.repeated_lines(docs).collect()} == brute_lines(texts)
 
 
+def test_names_that_clash(spark):
+    """Columns of any names come through, with their values."""
+    names = ["doc", "lines", "rest", "gone", "__left", "__lines", "__doc", "__gone", "line", "id", "key", "n", "root", "bands", "class_id", "kept", "key", "weight"]
+    names = list(dict.fromkeys(names))
+    rows = [(1, "a b c d e f\nq r s t", 11, *names), (2, "a b c d e f\nx y z", 9, *names), (3, "a b c d e f\nq r s t", 11, *names)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, n_chars long, {', '.join(f'`{n}` string' for n in names)}")
+    lines = sorted(map(tuple, line_dedup.remove_lines(docs).collect()))
+    assert lines == [rows[0], (2, "x y z", 5, *names)]
+    assert sorted(map(tuple, near_dup.deduplicate(docs).collect())) == rows[:2]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, resampling.resample(docs, labels).collect())) == rows
+
+
+def test_copies_over_tasks_and_chunks(spark, monkeypatch):
+    """Equal sets in one chunk, in chunks of one task and in several tasks, with ids out of order and repeated rows."""
+    monkeypatch.setattr(line_dedup, "CHUNK_BYTES", 60)
+    r = random.Random(13)
+    lines = [" ".join(f"w{r.randrange(30)}" for _ in range(r.choice([1, 2, 5, 8]))) for _ in range(25)]
+    texts = {i: "\n".join(r.choice(lines) for _ in range(3)) for i in r.sample(range(1000), 60)}
+    rows = list(texts.items())
+    docs = spark.createDataFrame(rows + rows[:7], "doc_id long, text string").repartition(3)
+    assert {(x.doc_id, x.line) for x in line_dedup.repeated_lines(docs).collect()} == brute_lines(texts)
+
+
 def test_removed_lines(spark, docs, prose):
     gone = brute_lines(dict(enumerate(prose)))
     out = line_dedup.remove_lines(docs)
@@ -332,6 +382,38 @@ def test_long_chains(spark):
     assert {int(r.call_id): r.level for r in tool_calls.levels(edges, nodes).collect()} == {i: i // 2 for i in range(300)}
 
 
+def test_levels_against_brute_force(spark):
+    """Random graphs with cycles, chains and calls that wait for several others; one conversation holds most calls."""
+    r = random.Random(21)
+    edges = {(0 if r.random() < 0.7 else 1, a, b) for a, b in ((r.randrange(90), r.randrange(90)) for _ in range(140)) if b < a or r.random() < 0.03}
+    edges |= {(0, i, i - 1) for i in range(60, 80)}
+    nodes = [(c, i) for c in (0, 1) for i in range(90)]
+    deps = {}
+    for c, a, b in edges:
+        deps.setdefault((c, a), []).append((c, b))
+    level: dict = {}
+    for _ in nodes:  # until nothing changes
+        for x in nodes:
+            if x not in level and all(d in level for d in deps.get(x, [])):
+                level[x] = max((level[d] + 1 for d in deps.get(x, [])), default=0)
+    frame = spark.createDataFrame([(c, str(a), str(b)) for c, a, b in edges], "conv_id long, call_id string, dep string")
+    got = {(x.conv_id, int(x.call_id)): x.level for x in tool_calls.levels(frame, spark.createDataFrame([(c, str(i)) for c, i in nodes], "conv_id long, call_id string")).collect()}
+    assert got == {x: level.get(x) for x in nodes} and 0 < sum(v is None for v in got.values()) < 100
+
+
+def test_tool_calls_with_odd_rows(spark):
+    """Long arguments, columns whose names clash, and no rows at all."""
+    long = "y" * 300_000
+    calls = spark.createDataFrame([(1, "a", 0, "f", '{"x":"%s"}' % long, [], 1, "s", "j", 2)], "conv_id long, call_id string, seq long, name string, arguments string, after array<string>, level int, status string, json string, n int")
+    results = spark.createDataFrame([(1, "a", 1, long, 3, "p")], "conv_id long, call_id string, seq long, content string, extra int, parsed string")
+    schemas = spark.createDataFrame([("f", "x", "string", True)], "name string, field string, type string, required boolean")
+    (row,) = tool_calls.link(calls, results, schemas).collect()
+    assert row.status == "linked" and row.errors == [] and row.level == 0 and row.json.count("y") >= 600_000
+    assert [r.status for r in tool_calls.link(calls.limit(0), results, schemas).collect()] == ["orphan_result"]
+    chat = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert tool_calls.link(*tool_calls.turns(chat)).count() == 0
+
+
 def test_tool_calls_are_native(spark, sf):
     from keyloom.plans import plan_text
 
@@ -365,3 +447,12 @@ def test_pipeline_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_pipeline_run_on_empty_tables(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "conversations"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert tool_calls.query(spark, str(tmp_path)).count() == 0 and line_dedup.query(spark, str(tmp_path)).count() == 0 and near_dup.query(spark, str(tmp_path)).count() == 0
