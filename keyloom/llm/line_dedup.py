@@ -5,17 +5,17 @@ Words are ordered by rarity, as counted over all lines in a
 table of RARITY counters (words that share a counter share a rank; any order common to all lines gives
 exact results).  Two lines of similarity t or more share one of the n - ceil(t n) + 1 rarest words of
 each (prefix filter), of which one posting each is dealt to the word's bucket.  In a bucket, the lines of a word
-meet in the order of the documents.  A pair goes on if its sizes (length filter), its places in the two prefixes
-(positional filter) and the counts of its words over 16 hash classes allow enough common words (16 numbers of four bits, compared
-modulo 16, which can only understate how much two lines differ); it is then verified by exact Jaccard.
+meet in the order of their sizes, as far as sizes and places allow.  A pair goes on if its sizes (length filter), its places in the two
+prefixes (positional filter) and the parities of its words over 128 hash classes allow enough common words (classes whose parities differ
+can only understate how much two lines do); it is then verified by exact Jaccard.
 
 A line goes if any earlier line is similar enough, whether or not that one goes as well; earlier is by
 (doc_id, line number).  So a line needs one match.  Postings of a word that look alike in all that the filters see stand behind the first
 of them.  Of the lines of a word that pass the filters a line first meets all, if they are
 few, or else the closest; lines that fail with these and had more to meet, then meet the rest.  Copies cost a few
-candidates each, however many there are, and nothing is capped.  Later rounds compare the counts over 64 hash classes too, which
-leaves hardly any dissimilar pair; they first take the closest, and all for lines that still fail.  Copies within a task's input are settled before
-the shuffle, so a line that all documents share is one posting a word and task.
+candidates each, however many there are, and nothing is capped.  Later rounds compare parities by four hashes, over 512 classes and fewer, which
+leaves hardly any dissimilar pair, and only the earliest of equal sets; they first take the closest, and all for lines that still fail.  Copies
+within a task's input are settled before the shuffle, so a line that all documents share is one posting a word and task.
 
 Defined results: lines are split at \\n; a line without a word never goes; a null text has no lines.  Very long texts and lines are used
 whole, one at a time.  Rows with a null doc_id stay as they are and are compared with none.  Rows that repeat a doc_id count as one document: the same
@@ -47,9 +47,17 @@ PARTS = 256
 #: Buckets of postings for each partition of the input; text whose postings a task holds at once.
 SPREAD, CHUNK_BYTES = 4, 1 << 22
 _CODE = 38  # bits of a word's hash within its code; 6 bits of rarity stand above
-_POST = np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("place", "<i4"), ("counts", "<u8")])
-#: As in the second round, with counts over 64 hash classes, of two bits each: the low bits, the high bits.
-_FINE = np.dtype([*_POST.descr, ("ones", "<u8"), ("twos", "<u8")])
+_LINE = np.dtype([("doc", "<i8"), ("line", "<i4"), ("mark", "<u8")])
+#: Numbers of 64 bits that hold the parities of a line by one hash after another, in the first round and in later ones.
+_COARSE, _FINE = (2,), (8, 4, 2, 2)
+#: Classes of lines that are counted at once.
+CELLS = 1 << 21
+
+
+def _kind(groups: tuple[int, ...]) -> np.dtype:
+    """A posting, with the parities of its line; in later rounds also the hash of its set."""
+    mark = [("mark", "<u8")] if groups == _FINE else []
+    return np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("place", "<i4"), *mark, *((f"bits{k}", "<u8") for k in range(sum(groups)))])
 
 
 def _begins(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,10 +151,49 @@ def _place(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(32)).astype(np.uint32), (key % np.uint64(buckets)).astype(np.int64)
 
 
-def _asked(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, token) of each word."""
-    token, bucket = _place(W.mix(code), buckets)
-    return bucket, token.astype(np.int64)
+def _parities(mixed: np.ndarray, at: np.ndarray, groups: tuple[int, ...]) -> list[np.ndarray]:
+    """Whether a line has an odd number of words in each class, for each hash; mixed: hashes of the words."""
+    out: list[np.ndarray] = []
+    for numbers in groups:
+        kinds = 64 * numbers
+        bits, step = np.empty((len(at) - 1, numbers), np.uint64), max(1, CELLS // kinds)
+        for lo in range(0, len(bits), step):
+            some = at[lo : lo + step + 1]
+            cell = W.owners(some) * kinds + (mixed[some[0] : some[-1]] >> np.uint64(65 - kinds.bit_length())).astype(np.int64)
+            odd = (np.bincount(cell, minlength=kinds * (len(some) - 1)) & 1).astype(np.uint8)
+            bits[lo : lo + step] = np.packbits(odd, bitorder="little").view("<u8").reshape(-1, numbers)
+        out += [np.ascontiguousarray(bits[:, k]) for k in range(numbers)]
+        mixed = mixed << np.uint64(kinds.bit_length() - 1)  # the next hash
+    return out
+
+
+class _Asked:
+    """A filter for tokens, of 2 ** 24 bits whatever their number: what fails it was not asked for.  Two places a token, without hashing, as
+    each word of the corpus is looked up."""
+
+    TURN = 0x1E3779B1
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> _Asked:
+        """Of the column token; repeated ones do no harm."""
+        turned = (F.col("token") * F.lit(cls.TURN).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+        places = keys.select(F.explode(F.array(F.shiftright("token", 8), F.shiftright(turned, 8))).alias("p"))
+        rows = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b")).toArrow()
+        words = np.zeros(1 << 18, np.uint64)
+        words[np.asarray(rows["w"])] = np.asarray(rows["b"]).view(np.uint64)
+        return cls(words)
+
+    def _has(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[place >> np.uint32(6)] >> (place & np.uint32(63)).astype(np.uint64)) & np.uint64(1) != 0
+
+    def may_have(self, token: np.ndarray) -> np.ndarray:
+        found = self._has(token >> np.uint32(8))
+        some = np.flatnonzero(found)
+        found[some] = self._has(token[some] * np.uint32(self.TURN) >> np.uint32(8))
+        return found
 
 
 class _Leads:
@@ -181,16 +228,15 @@ class _Leads:
         return out, order[none & other]
 
 
-def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Filter | None = None) -> DataFrame:
+def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: _Asked | None = None) -> DataFrame:
     """bucket, kind, blob: packed postings (kind 0), lines that are copies of an earlier one of their chunk (kind 1), and
-    the others with the hash of their set as counts, dealt by it (kind 2).
-    With `only`, a filter of (bucket, token), just the postings that pass it."""
+    the others with the hash of their set, dealt by it (kind 2).
+    With `only`, a filter of tokens, just the postings that pass it."""
     shared = docs.sparkSession.sparkContext.broadcast((rank, None if only is None else only.words))  # of fixed size
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, asked = shared.value
-        wanted = None if asked is None else Filter(asked)
-
+        wanted = None if asked is None else _Asked(asked)
         earlier = _Leads()
 
         def chunk(ids: np.ndarray, known: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -198,7 +244,7 @@ def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Fi
             for text, number, first, word in _parts(column):
                 use = known[text]
                 if wanted is not None and len(first):
-                    use &= np.logical_or.reduceat(wanted.may_have(*_asked(_codes(word, ranks), buckets)), first)
+                    use &= np.logical_or.reduceat(wanted.may_have(_place(W.mix(_codes(word, ranks)), buckets)[0]), first)
                 if not use.all():
                     words = np.repeat(use, np.diff(np.concatenate([first, [len(word)]])))
                     word = word[words]
@@ -208,47 +254,38 @@ def postings(docs: DataFrame, rank: np.ndarray, buckets: int, t: float, only: Fi
                     continue
                 code, at = _sets(first, word, ranks)
                 n = np.diff(at)
-                cell = np.bincount((W.owners(at) << 4) | (W.mix(code) >> np.uint64(60)).astype(np.int64), minlength=16 * len(n)).reshape(-1, 16)
-                counts = ((cell & 15).astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(1, dtype=np.uint64)
+                mixed = W.mix(code)
                 mark = np.add.reduceat(W.mix(code ^ np.uint64(0xABCD)), at[:-1]) ^ W.mix(n.astype(np.uint64))
                 size = np.where(n * (1 - t) < t - 1e-6, 0, prefix_length(n, t))  # none where only equal sets are similar
                 line = np.repeat(np.arange(len(n)), size)
                 place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
-                key = W.mix(code[np.repeat(at[:-1], size) + place])
-                token, bucket = _place(key, buckets)
+                token, bucket = _place(mixed[np.repeat(at[:-1], size) + place], buckets)
                 line += total
                 if wanted is not None:
-                    some = wanted.may_have(bucket, token.astype(np.int64))
+                    some = wanted.may_have(token)
                     line, place, token, bucket = line[some], place[some], token[some], bucket[some]
-                fine = [np.zeros(0, np.uint64)] * 2
-                if wanted is not None:
-                    cell = np.bincount((W.owners(at) << 6) | (W.mix(code) >> np.uint64(54) & np.uint64(63)).astype(np.int64), minlength=64 * len(n)).reshape(-1, 64)
-                    fine = [np.packbits(cell & b > 0, axis=1, bitorder="little").view("<u8").ravel() for b in (1, 2)]
-                lines.append((ids[text], number, n, counts, mark, *fine))
+                lines.append((ids[text], number.astype(np.int32), n.astype(np.int32), mark, *_parities(mixed, at, _COARSE if wanted is None else _FINE)))
                 posts.append((line, place, token, bucket))
                 total += len(n)
             if not lines:
                 return
-            doc, number, n, counts, mark, *fine = (np.concatenate(c) for c in zip(*lines, strict=True))
+            doc, number, n, mark, *bits = (np.concatenate(c) for c in zip(*lines, strict=True))
             line, place, token, bucket = (np.concatenate(c) for c in zip(*posts, strict=True))
-            copy, gone = np.zeros(total, bool), np.zeros(0, np.int64)
-            if wanted is None:
-                copy, gone = earlier.add(mark, doc, number)
-            columns = lambda i, p, tok: [tok, doc[i], number[i].astype(np.int32), n[i].astype(np.int32), p.astype(np.int32), counts[i], *(f[i] for f in fine if wanted is not None)]  # noqa: E731  in the order of _FINE
+            copy, gone = earlier.add(mark, doc, number)
             by = np.flatnonzero(~copy[line])
             by = by[np.argsort(bucket[by].astype(np.uint16) if buckets <= 1 << 16 else bucket[by], kind="stable")]
-            bucket, full = bucket[by], columns(line[by], place[by], token[by])
+            bucket, line = bucket[by], line[by]
+            full = [token[by], doc[line], number[line], n[line], place[by].astype(np.int32), *(b[line] for b in ([] if wanted is None else [mark]) + bits)]  # in the order of _kind
             edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             rows = [(int(bucket[a]), 0, _pack([c[a:b] for c in full])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             if wanted is None:
-                none = lambda i: (np.zeros(len(i), np.int32), np.zeros(len(i), np.uint32))
                 if len(gone):
-                    rows.append((int(mark[gone[0]] % np.uint64(buckets)), 1, _pack(columns(gone, *none(gone)))))
+                    rows.append((int(mark[gone[0]] % np.uint64(buckets)), 1, _pack([doc[gone], number[gone], mark[gone]])))
                 by = np.flatnonzero(~copy)
-                counts, bucket = mark, (mark % np.uint64(buckets)).astype(np.int64)
+                bucket = (mark % np.uint64(buckets)).astype(np.int64)
                 by = by[np.argsort(bucket[by], kind="stable")]
                 edge = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
-                full = columns(by, *none(by))
+                full = [doc[by], number[by], mark[by]]
                 rows += [(int(bucket[by[a]]), 2, _pack([c[a:b] for c in full])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
@@ -265,7 +302,7 @@ def _pack(columns: list[np.ndarray]) -> bytes:
     return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
 
 
-def _unpack(blobs: list[bytes], kind: np.dtype = _POST) -> dict[str, np.ndarray]:
+def _unpack(blobs: list[bytes], kind: np.dtype) -> dict[str, np.ndarray]:
     out: dict[str, list] = {c: [np.zeros(0, kind[c])] for c in kind.names}
     for blob in blobs:
         n, at = len(blob) // kind.itemsize, 0
@@ -278,10 +315,10 @@ def _unpack(blobs: list[bytes], kind: np.dtype = _POST) -> dict[str, np.ndarray]
 
 def _copies(post: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The lines whose set an earlier line has, by the hash of the set."""
-    order = np.lexsort((post["line"], post["doc"], post["counts"]))
+    order = np.lexsort((post["line"], post["doc"], post["mark"]))
     post = {c: v[order] for c, v in post.items()}
     fresh = np.ones(len(order), bool)
-    fresh[1:] = post["counts"][1:] != post["counts"][:-1]
+    fresh[1:] = post["mark"][1:] != post["mark"][:-1]
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
     other = (post["doc"] != post["doc"][first]) | (post["line"] != post["line"][first])  # a repeated row is no copy
     return {c: v[other] for c, v in post.items()}
@@ -290,8 +327,9 @@ def _copies(post: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 class _Postings:
     """Postings of a bucket by word, then document order, as columns; `start` is the first of the same word."""
 
-    def __init__(self, blobs: list[bytes], t: float, kind: np.dtype = _POST):
-        post = _unpack(blobs, kind)
+    def __init__(self, blobs: list[bytes], t: float, groups: tuple[int, ...]):
+        self.first = {0, *np.cumsum(groups)}  # the numbers that begin a hash's
+        post = _unpack(blobs, _kind(groups))
         order = np.argsort(post["token"])
         token = post["token"][order]
         twice = np.zeros(len(order), bool)  # a word of one posting has no pairs
@@ -299,26 +337,29 @@ class _Postings:
         twice[:-1] |= twice[1:]
         order = order[twice]
         order = order[np.lexsort((post["line"][order], post["doc"][order], post["token"][order]))]
+        if "mark" in post:  # an open line is no copy, and of equal sets the earliest stands for all
+            mark = post.pop("mark")[order]
+            order = order[np.sort(np.unique(W.mix(mark) ^ post["token"][order], return_index=True)[1])]
         self._set(t, {c: v[order] for c, v in post.items()})
 
     def _set(self, t: float, post: dict[str, np.ndarray]) -> None:
         self.t = t
-        self.token, self.doc, self.line, self.n, self.place, self.counts = (post[c] for c in _POST.names)
-        self.ones, self.twos = post.get("ones"), post.get("twos")
+        self.token, self.doc, self.line, self.n, self.place, *self.bits = post.values()
         self.tail = self.n - self.place  # words from this one on
         fresh = np.ones(len(self.token), bool)
         fresh[1:] = self.token[1:] != self.token[:-1]
         self.start = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
-        self.low = self.counts & np.uint64(0x0F0F0F0F0F0F0F0F)
-        self.high = (self.counts >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)
 
     def __len__(self) -> int:
         return len(self.token)
 
     def lead(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keeps, of the postings of a word that look alike (in size, place and counts), the first.  (Postings that
+        """Keeps, of the postings of a word that look alike (in size, place and parities), the first.  (Postings that
         go, those that they look like; as postings before.)  many: which of those that stay have had others."""
-        key = W.mix(self.counts ^ W.mix((self.token.astype(np.uint64) << np.uint64(32)) ^ W.mix((self.n.astype(np.uint64) << np.uint64(32)) | self.place.astype(np.uint64))))
+        bits = self.bits[0]
+        for more in self.bits[1:]:
+            bits = W.mix(bits) ^ more
+        key = W.mix(bits ^ W.mix((self.token.astype(np.uint64) << np.uint64(32)) ^ W.mix((self.n.astype(np.uint64) << np.uint64(32)) | self.place.astype(np.uint64))))
         order = np.argsort(key, kind="stable")
         fresh = np.ones(len(key), bool)
         fresh[1:] = key[order[1:]] != key[order[:-1]]
@@ -333,33 +374,26 @@ class _Postings:
         self.many = np.zeros(len(key), bool)
         self.many[like] = True
         self.many = self.many[stay]
-        self._set(self.t, {c: getattr(self, c)[stay] for c in _POST.names})
+        columns = (self.token, self.doc, self.line, self.n, self.place, *self.bits)
+        self._set(self.t, {str(k): c[stay] for k, c in enumerate(columns)})
         return y, x
 
     def __getitem__(self, i: np.ndarray) -> dict[str, np.ndarray]:
         return {"token": self.token[i], "doc": self.doc[i], "line": self.line[i]}
 
     def may(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which pairs pass the length, positional and count filters, how far apart these are)."""
-        n, m = self.n[x], self.n[y]
-        at = np.flatnonzero(np.minimum(n, m) >= self.t * np.maximum(n, m) - 1e-9)
-        x, y, both = x[at], y[at], (n + m)[at]
+        """(which pairs pass the length, positional and parity filters, how far apart these are)."""
+        both = self.n[x] + self.n[y]
         need = np.ceil(self.t / (1 + self.t) * both - 1e-9)
-        ok = (np.minimum(self.tail[x], self.tail[y]) >= need) & ~((self.doc[x] == self.doc[y]) & (self.line[x] == self.line[y]))
-        at, x, y, most = at[ok], x[ok], y[ok], (both - 2 * need)[ok]
-        apart = np.zeros(len(at), np.int64)
-        for part in (self.low, self.high):
-            gap = (part[x].view(np.uint8) - part[y].view(np.uint8)) & 15
-            apart += np.minimum(gap, 16 - gap).reshape(-1, 8).sum(1, dtype=np.int64)
-        ok = apart <= most
-        if self.ones is None:
-            return at[ok], apart[ok]
-        at, x, y, most = at[ok], x[ok], y[ok], most[ok]
-        # Differences modulo 4 of two-bit counts: odd ones are 1 or 3, at least 1 apart, the others 0 or 2.
-        odd, twos = self.ones[x] ^ self.ones[y], self.twos[x] ^ self.twos[y]
-        apart = np.bitwise_count(odd).astype(np.int64) + 2 * np.bitwise_count(twos & ~odd)
-        ok = apart <= most
-        return at[ok], apart[ok]
+        at = np.flatnonzero(np.minimum(self.tail[x], self.tail[y]) >= need)  # only sizes that allow it have such places
+        x, y, most = x[at], y[at], (both[at] - 2 * need[at]).astype(np.int64)
+        apart = far = np.zeros(len(at), np.int64)
+        for k, bits in enumerate(self.bits):
+            apart = (0 if k in self.first else apart) + np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
+            ok = np.flatnonzero(apart <= most)
+            at, x, y, most, apart, far = at[ok], x[ok], y[ok], most[ok], apart[ok], np.maximum(far, apart)[ok]
+        other = (self.doc[x] != self.doc[y]) | (self.line[x] != self.line[y])
+        return at[other], far[other]
 
 
 _FOUND = "y_doc long, y_line int, x_doc long, x_line int, kind int, bucket long, token long"
@@ -369,23 +403,30 @@ _KINDS = pa.schema([("y_doc", pa.int64()), ("y_line", pa.int32()), ("x_doc", pa.
 def _rows(y: np.ndarray, x: np.ndarray, kind: np.ndarray | int, bucket: int) -> pa.Table:
     """y, x: postings."""
     full = lambda v: np.full(len(y["doc"]), v) if np.isscalar(v) else v
-    cols = [y["doc"], y["line"], x["doc"], x["line"], full(kind), full(bucket), y["token"]]
+    cols = [y["doc"], y["line"], x["doc"], x["line"], full(kind), full(bucket), y.get("token", np.zeros(len(y["doc"]), np.uint32))]
     return pa.table([pa.array(c).cast(f.type) for c, f in zip(cols, _KINDS, strict=True)], schema=_KINDS)
 
 
 def _near(posts: _Postings, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(x, y, apart) of the pairs of one word that pass, x earlier; index: postings by word and size.  Each
-    posting meets those that follow it in this order as long as their sizes allow."""
-    token, n = posts.token[index], posts.n[index]
-    live, k = np.arange(len(index)), 1
-    while len(live):
-        live = live[live + k < len(index)]
-        live = live[(token[live] == token[live + k]) & (n[live] >= posts.t * n[live + k] - 1e-9)]
-        a, b = index[live], index[live + k]
+    posting meets those that follow it in this order as long as sizes and its own place allow."""
+    n, t = posts.n[index].astype(np.int64), posts.t
+    largest = np.floor(np.minimum(n / t, posts.tail[index] * ((1 + t) / t) - n) + 1e-6).astype(np.int64)
+    token = posts.token[index].astype(np.uint64) << np.uint64(32)
+    many = np.searchsorted(token | n.view(np.uint64), token | np.maximum(largest, 0).view(np.uint64), "right") - np.arange(1, len(index) + 1)
+    start = np.flatnonzero(many > 0)
+    to = np.cumsum(many[start])
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(to, (to[lo - 1] if lo else 0) + MEET, "right")))
+        size = many[start[lo:hi]]
+        a = np.repeat(start[lo:hi], size)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+        a, b = index[a], index[b]
         x, y = np.minimum(a, b), np.maximum(a, b)
         at, apart = posts.may(x, y)
         yield x[at], y[at], apart
-        k += 1
+        lo = hi
 
 
 def _first(t: float):
@@ -395,8 +436,8 @@ def _first(t: float):
     def meet(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py() if len(table) else 0
         kind, blobs = np.asarray(table["kind"]), table["blob"].to_pylist()
-        posts = _Postings([b for b, k in zip(blobs, kind, strict=True) if k == 0], t)
-        of = lambda what: _unpack([b for b, k in zip(blobs, kind, strict=True) if k == what])
+        posts = _Postings([b for b, k in zip(blobs, kind, strict=True) if k == 0], t, _COARSE)
+        of = lambda what: _unpack([b for b, k in zip(blobs, kind, strict=True) if k == what], _LINE)
         out = [_rows(gone, gone, 1, bucket) for gone in (of(1), _copies(of(2)))]
         out.append(_rows(*posts.lead(), 2, bucket))
         if not len(posts):
@@ -510,16 +551,17 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     posts = postings(docs, rank, buckets, similarity)
     found = cut(posts.groupBy("bucket").applyInArrow(_first(similarity), _FOUND))
     copies = cut(found.where("kind = 1").select("y_doc", "y_line").distinct())
-    pairs = found.where("kind <> 1").join(copies, ["y_doc", "y_line"], "left_anti")
+    pairs = cut(found.where("kind <> 1").join(copies, ["y_doc", "y_line"], "left_anti"))
+    drop(found)
     gone = cut(_verified(docs, pairs.select("y_doc", "y_line", "x_doc", "x_line").distinct(), similarity).union(copies))
-    spent = [found, copies]
+    spent = [pairs, copies]
     for most in (THEN, None):
         open_ = cut(pairs.where("kind = 2").join(gone, ["y_doc", "y_line"], "left_anti").select("bucket", "token", "y_doc", "y_line").distinct())
         drop(*spent)
         spent = [open_]
         if open_.isEmpty():
             break
-        again = postings(docs, rank, buckets, similarity, Filter.of(open_, "bucket", "token"))
+        again = postings(docs, rank, buckets, similarity, _Asked.of(open_))
         pairs = cut(again.groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_rest(similarity, most), _FOUND))
         more = cut(gone.union(_verified(docs, pairs.select("y_doc", "y_line", "x_doc", "x_line").distinct(), similarity)))
         spent += [pairs, gone]

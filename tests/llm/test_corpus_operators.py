@@ -334,6 +334,54 @@ def test_copies_over_tasks_and_chunks(spark, monkeypatch):
     assert {(x.doc_id, x.line) for x in line_dedup.repeated_lines(docs).collect()} == brute_lines(texts)
 
 
+def test_hardly_any_dissimilar_candidates(spark):
+    """Long lines of different words that share rare ones do not go on to be verified."""
+    r = random.Random(21)
+    texts = [" ".join(r.sample([f"w{i}" for i in range(2000)], 160)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    posts = line_dedup.postings(docs, line_dedup.rarity(docs), 8, 0.8)
+    assert posts.groupBy("bucket").applyInArrow(line_dedup._first(0.8), line_dedup._FOUND).where("kind <> 1").count() <= 5
+
+
+def test_parities(monkeypatch):
+    """In blocks of any size, by every hash: of each class whether a line has an odd number of its words."""
+    r = np.random.default_rng(5)
+    mixed, at = r.integers(0, 1 << 64, 300, dtype=np.uint64), np.array([0, 1, 40, 41, 200, 300])
+    want = []
+    for bits, above in ((9, 0), (8, 9), (7, 17), (7, 24)):
+        place = [((int(x) << above) % (1 << 64)) >> (64 - bits) for x in mixed]
+        sets = [sum(1 << k for k in range(1 << bits) if place[a:b].count(k) % 2) for a, b in zip(at[:-1], at[1:], strict=True)]
+        want += [[x >> 64 * k & (1 << 64) - 1 for x in sets] for k in range((1 << bits) // 64)]
+    for cells in (1, 1100, 1 << 21):
+        monkeypatch.setattr(line_dedup, "CELLS", cells)
+        assert [x.tolist() for x in line_dedup._parities(mixed, at, line_dedup._FINE)] == want
+
+
+def test_asked_tokens_pass(spark):
+    tokens = [0, 1, 255, 256, 2**31, 2**32 - 1, *(random.Random(3).randrange(2**32) for _ in range(500))]
+    asked = line_dedup._Asked.of(spark.createDataFrame([(t,) for t in tokens], "token long"))
+    assert asked.may_have(np.array(tokens, np.uint32)).all()
+    assert asked.may_have(np.arange(5, 2**32, 2**32 // 1000, dtype=np.uint32)).sum() < 20
+
+
+def test_later_rounds(spark, monkeypatch):
+    """Nearly all lines need the later rounds, among copies in several tasks."""
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    monkeypatch.setattr(line_dedup, "THEN", 1)
+    r = random.Random(17)
+    lines = []
+    for n in (6, 12, 25, 60):
+        for _ in range(14):
+            words = [f"v{n}_{i}" for i in range(n)]
+            for j in r.sample(range(n), r.randint(0, n // 5 + 1)):
+                words[j] = f"z{r.randrange(25)}"
+            lines.append(" ".join(words))
+    texts = {i: "\n".join(r.sample(lines, 2)) for i in r.sample(range(1000), 90)}
+    rows = list(texts.items())
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(5)
+    assert {(x.doc_id, x.line) for x in line_dedup.repeated_lines(docs).collect()} == brute_lines(texts)
+
+
 def test_removed_lines(spark, docs, prose):
     gone = brute_lines(dict(enumerate(prose)))
     out = line_dedup.remove_lines(docs)
