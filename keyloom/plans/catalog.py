@@ -12,9 +12,12 @@ from ..functions import keys as K
 from ..functions.merge import SUM, Fold, PandasFold, fold
 from ..operators.frame import KeyedFrame, shared_folder
 from ..operators.layered import Reducer
-from ..sources.storage import Store, load_bucketed, save_bucketed
+from ..sources.storage import Store, load_bucketed, partitions_for, save_bucketed
 
-N = 8  # partitions of the tables below; a deployment sets it from its data
+N = 8  # least partitions of the tables below
+
+#: What the tables below are made of.
+_TABLES = ("customer", "part", "orders", "lineitem", "events")
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -30,27 +33,32 @@ def _query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
+def _n(spark: SparkSession, d: str) -> int:
+    """Partitions of the tables of d.  All have one layout, whose partitions grow in number with the data, not in size."""
+    return partitions_for(spark, [f"{d}/{t}.parquet" for t in _TABLES], least=N)
+
+
 def _read(spark: SparkSession, d: str, table: str, k: str, v: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet").select(F.col(k).alias("k"), F.col(v).alias("v"))
 
 
-def _orders(spark: SparkSession, d: str, where: str = "true") -> KeyedFrame:
+def _orders(spark: SparkSession, d: str, where: str = "true", n: int | None = None) -> KeyedFrame:
     rows = spark.read.parquet(f"{d}/orders.parquet").where(where)
-    return KeyedFrame.from_df(rows.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), "k", n=N)
+    return KeyedFrame.from_df(rows.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), "k", n=n or _n(spark, d))
 
 
-def _quantities(spark: SparkSession, d: str) -> KeyedFrame:
+def _quantities(spark: SparkSession, d: str, n: int | None = None) -> KeyedFrame:
     """By order; some orders have no lines."""
-    return KeyedFrame.from_df(_read(spark, d, "lineitem", "l_orderkey", "l_quantity"), "k", n=N, merge=SUM)
+    return KeyedFrame.from_df(_read(spark, d, "lineitem", "l_orderkey", "l_quantity"), "k", n=n or _n(spark, d), merge=SUM)
 
 
 def _customers(spark: SparkSession, d: str) -> KeyedFrame:
-    return KeyedFrame.from_df(_read(spark, d, "customer", "c_custkey", "c_acctbal"), "k", n=N)
+    return KeyedFrame.from_df(_read(spark, d, "customer", "c_custkey", "c_acctbal"), "k", n=_n(spark, d))
 
 
 def _builders(spark: SparkSession, d: str) -> KeyedFrame:
     rows = spark.read.parquet(f"{d}/customer.parquet").where("c_mktsegment = 'BUILDING'")
-    return KeyedFrame.from_df(rows.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), "k", n=N)
+    return KeyedFrame.from_df(rows.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), "k", n=_n(spark, d))
 
 
 def _finished(spark: SparkSession, d: str) -> DataFrame:
@@ -80,25 +88,25 @@ def build_unique(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT k, v FROM (SELECT user_id AS k, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) t WHERE rn = 1")
 def build_last_wins(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("k"), F.col("value").alias("v"), "event_id")
-    return KeyedFrame.from_df(rows, "k", "v", n=N, order_by="event_id").to_df()
+    return KeyedFrame.from_df(rows, "k", "v", n=_n(spark, d), order_by="event_id").to_df()
 
 
 @_query("SELECT o_custkey AS k, count(*) AS v FROM orders GROUP BY o_custkey")
 def build_fold_commutative(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("k"), F.lit(1).cast("long").alias("v"))
-    return KeyedFrame.from_df(rows, "k", n=N, merge=SUM).to_df()
+    return KeyedFrame.from_df(rows, "k", n=_n(spark, d), merge=SUM).to_df()
 
 
 @_query("SELECT user_id AS k, list_reduce(list(value ORDER BY event_id), lambda a, x: a * 0.5 + x) AS v FROM events GROUP BY user_id")
 def build_fold_ordered(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("k"), F.col("value").alias("v"), "event_id")
-    return KeyedFrame.from_df(rows, "k", "v", n=N, merge=fold(None, lambda k, a, x: a * 0.5 + x), order_by="event_id").to_df()
+    return KeyedFrame.from_df(rows, "k", "v", n=_n(spark, d), merge=fold(None, lambda k, a, x: a * 0.5 + x), order_by="event_id").to_df()
 
 
 @_query("SELECT user_id AS k, list_reduce(list(value ORDER BY event_id), lambda a, x: a * 0.5 + x) AS v FROM events GROUP BY user_id")
 def build_fold_pandas(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("k"), F.col("value").alias("v"), "event_id")
-    return KeyedFrame.from_df(rows, "k", "v", n=N, merge=PandasFold(lambda k, u: u, lambda k, a, x: a * 0.5 + x), order_by="event_id").to_df()
+    return KeyedFrame.from_df(rows, "k", "v", n=_n(spark, d), merge=PandasFold(lambda k, u: u, lambda k, a, x: a * 0.5 + x), order_by="event_id").to_df()
 
 
 @_query(f"SELECT k, v FROM {_O} WHERE k = 1234")
@@ -202,7 +210,7 @@ def _changed(spark: SparkSession, d: str) -> KeyedFrame:
     """Unfinished orders; the values of urgent ones differ."""
     rows = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus <> 'F'")
     value = F.when(F.col("o_orderpriority") == "1-URGENT", -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
-    return KeyedFrame.from_df(rows.select(F.col("o_orderkey").alias("k"), value.alias("v")), "k", n=N)
+    return KeyedFrame.from_df(rows.select(F.col("o_orderkey").alias("k"), value.alias("v")), "k", n=_n(spark, d))
 
 
 @_query(f"SELECT a.k, a.v FROM {_O} a JOIN {_CHANGED} o ON a.k = o.k WHERE a.v <> o.v")
@@ -334,14 +342,14 @@ def create_using_index(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT l_partkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY l_partkey")
 def aggregate_using_index(spark: SparkSession, d: str) -> DataFrame:
-    parts = KeyedFrame.from_df(_read(spark, d, "part", "p_partkey", "p_retailprice"), "k", n=N)
+    parts = KeyedFrame.from_df(_read(spark, d, "part", "p_partkey", "p_retailprice"), "k", n=_n(spark, d))
     return parts.aggregate_using_index(_read(spark, d, "lineitem", "l_partkey", "l_quantity"), SUM).to_df()
 
 
 @_query("SELECT l_orderkey AS k1, l_linenumber AS k2, sum(l_quantity) AS v FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def tuple_key(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), F.col("l_quantity").alias("v"))
-    return KeyedFrame.from_df(rows, ["k1", "k2"], n=N, merge=SUM).to_df()
+    return KeyedFrame.from_df(rows, ["k1", "k2"], n=_n(spark, d), merge=SUM).to_df()
 
 
 @_query("SELECT n.n_name AS k, n.n_regionkey AS v FROM nation n WHERE n.n_name IN (SELECT max(n_name) FROM nation UNION ALL SELECT 'NOWHERE')")
@@ -384,7 +392,7 @@ def compacted(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT CAST(8 AS INTEGER) AS n, count(DISTINCT o_orderkey) AS keys, CAST(0 AS BIGINT) AS elsewhere FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def layout(spark: SparkSession, d: str) -> DataFrame:
     """Tables of one layout hold a key in the same partition."""
-    a, b = _orders(spark, d), _quantities(spark, d)
+    a, b = _orders(spark, d, n=N), _quantities(spark, d, n=N)
     placed = lambda t, name: t.to_df().select("k", F.spark_partition_id().alias(name))
     both = placed(a, "p").join(placed(b, "q"), "k")
     return both.agg(F.lit(a.num_partitions).alias("n"), F.count("*").alias("keys"), F.count_if(F.col("p") != F.col("q")).alias("elsewhere"))
@@ -424,14 +432,14 @@ def bucketed_join(spark: SparkSession, d: str) -> DataFrame:
     tables = []
     for name, table in (("orders", _orders(spark, d)), ("quantities", _quantities(spark, d))):
         save_bucketed(table, f"keyloom_{name}", _place(spark))
-        tables.append(load_bucketed(spark, f"keyloom_{name}", "k", N))
+        tables.append(load_bucketed(spark, f"keyloom_{name}", "k", table.num_partitions))
     return tables[0].inner_join(tables[1], lambda k, v, u: v - u, name="v").to_df()
 
 
 def _codec(name: str, codec: K.KeyCodec, logical: Callable[[Column], Column], sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = spark.read.parquet(f"{d}/orders.parquet").select(codec.encode(logical(F.col("o_orderkey"))).alias("k"), F.col("o_totalprice").alias("v"))
-        return KeyedFrame.from_df(rows, "k", n=N).map_values(lambda k, v: v, with_key=True).to_df().select(codec.decode(F.col("k")).alias("k"), "v")
+        return KeyedFrame.from_df(rows, "k", n=_n(spark, d)).map_values(lambda k, v: v, with_key=True).to_df().select(codec.decode(F.col("k")).alias("k"), "v")
 
     run.__name__ = name
     _query(sql)(run)
@@ -457,7 +465,7 @@ def key_pair(spark: SparkSession, d: str) -> DataFrame:
     codec = K.Pair(K.WholeNumber(), K.Text())
     pair = F.struct(F.col("l_orderkey").alias("_1"), F.col("l_linenumber").cast("string").alias("_2"))
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(codec.encode(pair).alias("k"), F.col("l_quantity").alias("v"))
-    table = KeyedFrame.from_df(rows, "k", n=N, merge=SUM).to_df().withColumn("k", codec.decode(F.col("k")))
+    table = KeyedFrame.from_df(rows, "k", n=_n(spark, d), merge=SUM).to_df().withColumn("k", codec.decode(F.col("k")))
     return table.select(F.col("k._1").alias("k1"), F.col("k._2").alias("k2"), "v")
 
 

@@ -1,3 +1,3 @@
-from .storage import Store, load_bucketed, read_table, save_bucketed
+from .storage import Store, load_bucketed, partitions_for, read_table, save_bucketed
 
-__all__ = ["Store", "load_bucketed", "read_table", "save_bucketed"]
+__all__ = ["Store", "load_bucketed", "partitions_for", "read_table", "save_bucketed"]

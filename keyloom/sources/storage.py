@@ -27,6 +27,20 @@ from ..operators.frame import KeyedFrame, _cols
 
 _PLACE, _LAYER, _COMMIT = "__p", "__layer", "_commit.json"
 
+#: Bytes of Parquet files for each partition of a layout: a million rows or so, for a task to sort or hash.
+PARTITION_BYTES = 16 << 20
+
+
+def partitions_for(spark: SparkSession, paths: Iterable[str], least: int = 1) -> int:
+    """Partitions for tables of these files and folders (patterns too; what is not there counts nothing): so many
+    that the rows of one, and with them the memory of a task, do not grow with the data."""
+    context, size = spark.sparkContext, 0
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(context._jsc.hadoopConfiguration())
+        size += sum(files.getContentSummary(found.getPath()).getLength() for found in files.globStatus(at) or ())
+    return max(least, -(-size // PARTITION_BYTES))
+
 
 def read_table(spark: SparkSession, path: str, keys: str | Sequence[str], values: str | Sequence[str] | None = None, format: str = "parquet", **how: Any) -> KeyedFrame:
     """A keyed table of any source that Spark reads; options of KeyedFrame.from_df may follow."""
